@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestream.llm import leaks, packing, split
+from lodestream.llm import leaks, packing, review, split
 from lodestream.tables import table
 
 # ---- 2: splitting oversized items ---------------------------------------------------------------
@@ -62,6 +62,26 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return p8_leaks(spark, d).select("doc_id", "item_id")
 
 
+# ---- 9: abusive, hateful or sexual content ------------------------------------------------------
+
+
+def _scored(spark: SparkSession, d: str) -> DataFrame:
+    model = review.train(table(spark, d, "review_examples"), "example_id", "text", "label")
+    return review.score(table(spark, d, "documents"), "doc_id", "text", model, keep=("source",))
+
+
+def p9_scores(spark: SparkSession, d: str) -> DataFrame:
+    return _scored(spark, d).select("doc_id", "score", "sentence")
+
+
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return _scored(spark, d).filter(F.col("score") >= review.FOUND_AT).select("doc_id")
+
+
+def p9_rates(spark: SparkSession, d: str) -> DataFrame:
+    return review.rates(_scored(spark, d), "source")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "p2_found": p2_found,
@@ -70,6 +90,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "p7_fill_report": p7_fill_report,
         "p8_found": p8_found,
         "p8_leaks": p8_leaks,
+        "p9_found": p9_found,
+        "p9_scores": p9_scores,
+        "p9_rates": p9_rates,
     }
 
 
