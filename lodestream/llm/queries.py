@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestream.llm import leaks, packing, review, split
+from lodestream.llm import leaks, names, packing, review, split
 from lodestream.tables import table
 
 # ---- 2: splitting oversized items ---------------------------------------------------------------
@@ -37,6 +37,28 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return p2_pieces(spark, d).filter("piece = 0 and pieces > 1").select("table_name", "item_id")
 
 
+# ---- 4: variant spellings -----------------------------------------------------------------------
+
+
+def _p4_linked(spark: SparkSession, d: str) -> DataFrame:
+    studies = table(spark, d, "aact_studies")
+    sponsors = studies.select(F.lit("sponsor").alias("kind"), F.col("sponsor_name").alias("name"))
+    drugs = studies.select(F.lit("drug").alias("kind"), F.col("intervention_name").alias("name"))
+    reported = table(spark, d, "faers").select(F.lit("drug").alias("kind"), F.col("drug_name").alias("name"))
+    return names.link_names(sponsors.unionByName(drugs).unionByName(reported))
+
+
+def p4_classes(spark: SparkSession, d: str) -> DataFrame:
+    """One row per spelling with its class and the number of other spellings of it."""
+    linked = _p4_linked(spark, d)
+    sizes = linked.groupBy("kind", "entity").agg((F.count(F.lit(1)) - 1).alias("links"))
+    return linked.join(sizes, ["kind", "entity"]).select("kind", "name", "entity", "links")
+
+
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return names.name_pairs(_p4_linked(spark, d))
+
+
 # ---- 7: filling containers ----------------------------------------------------------------------
 
 
@@ -86,6 +108,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "p2_found": p2_found,
         "p2_pieces": p2_pieces,
+        "p4_found": p4_found,
+        "p4_classes": p4_classes,
         "p7_containers": p7_containers,
         "p7_fill_report": p7_fill_report,
         "p8_found": p8_found,
