@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from lodestream.queries import problems
+from lodestream.queries import etl, problems
 
 
 def modules() -> list:
-    return [problems]
+    return [problems, etl]
