@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from lodestream.queries import etl, problems
+from lodestream.queries import etl, learning, problems, retrieval, texts
 
 
 def modules() -> list:
-    return [problems, etl]
+    return [problems, etl, texts, retrieval, learning]
