@@ -170,8 +170,8 @@ def confusion_matrix(spark: SparkSession, d: str) -> DataFrame:
 
 
 _SPANS = """
-with g as (select user_id as doc_id, event_id as id, epoch(ts)::bigint // 60 as s, epoch(ts)::bigint // 60 + 600 as e, event_type as label from events where event_id % 2 = 0),
-p as (select user_id as doc_id, event_id as id, epoch(ts)::bigint // 60 as s, epoch(ts)::bigint // 60 + 600 as e, event_type as label from events where event_id % 2 = 1)
+with g as (select user_id as doc_id, event_id as id, epoch_us(ts) // 60000000 as s, epoch_us(ts) // 60000000 + 600 as e, event_type as label from events where event_id % 2 = 0),
+p as (select user_id as doc_id, event_id as id, epoch_us(ts) // 60000000 as s, epoch_us(ts) // 60000000 + 600 as e, event_type as label from events where event_id % 2 = 1)
 """
 
 
