@@ -1,6 +1,6 @@
 """Scoring texts for abusive, hateful or sexual language by cumulative-link ordinal regression.
 
-Each sentence becomes a sparse vector: word n-grams of the cleaned sentence, hashed, and word classes of
+Each sentence becomes a sparse vector: word n-grams of the cleaned sentence and word classes of
 ``lexicon`` with their pairs. One weight vector w is shared by all severity grades; grade k is exceeded
 with probability sigmoid(w.x - theta_k), theta rising with k. The score of a sentence is its expected
 grade, that of a text the highest of its sentences, so a long text cannot dilute a single remark.
@@ -10,7 +10,7 @@ inside words, stretched letters; masked words ("w**m") match any listed word tha
 
 The model is fitted on at most ``max_examples`` labelled texts, in order of a hash of the id (300 exist),
 on the driver; only sentences of a labelled text that carry its label are taken for it, found by fitting
-twice. Scoring is a narrow pass; the weights have a fixed size.
+twice. Scoring is a narrow pass; the weights are those of the features of the labelled texts.
 
 Defined cases: null and empty texts score 0; unknown or null labels are left out; without examples of at
 least two grades fitting fails with ValueError.
@@ -18,6 +18,7 @@ least two grades fitting fails with ValueError.
 
 from __future__ import annotations
 
+import math
 import re
 import unicodedata
 from collections.abc import Iterator
@@ -37,15 +38,15 @@ GRADES = {"clean": 0, "sexual": 1, "abusive": 2, "hateful": 3}
 MAX_EXAMPLES = 20_000
 #: A text counts as found from this expected grade on.
 FOUND_AT = 0.25
-#: Hashed n-grams share this many weights.
-DIM = 1 << 16
-
 _SENTENCE = re.compile(r"(?<=[.!?…])[\"'”’)]*\s+|[\r\n]+")
 _RUN3 = re.compile(r"([^\W\d_])\1{2,}")
 _RUN2 = re.compile(r"(.)\1+")
 _SPELLED = re.compile(r"(?<![^\W_])(?:[^\W\d_*][ ]){2,}[^\W\d_*](?![^\W_]|\*)")
 _INNER = re.compile(r"(?<=[^\W\d_])[._\-‐‑·](?=[^\W\d_])")
 _TOKEN = re.compile(r"[^\W\d_][^\W_*]*\*+[^\W_]*|[^\W_]+")
+#: What a disguise needs: without any of this a sentence is read as it stands.
+_ODD = re.compile(r"[*@$|+]|!\w|([A-Za-z])\1\1|\b[A-Za-z] [A-Za-z] [A-Za-z]\b|[A-Za-z][._-][A-Za-z]|[A-Za-z][0-9]|[0-9][A-Za-z]")
+_PLAIN = re.compile(r"[a-z0-9]+")
 _LEET = re.compile(r"[\w@$!€|+]+")
 _LEET_SIGN = re.compile(r"[0-9@$!€|+]")
 
@@ -96,6 +97,8 @@ def clean(sentence: str) -> tuple[list[str], int]:
     """(tokens, number of disguised words) of a sentence."""
     s = sentence
     odd = 0
+    if s.isascii() and not _ODD.search(s):
+        return _PLAIN.findall(s.lower()), 0
     if not s.isascii():
         s = unicodedata.normalize("NFKC", s)
         t = "".join(ch for ch in s if unicodedata.category(ch) != "Cf")
@@ -126,6 +129,7 @@ def _known(piece: str) -> bool:
     return len(toks) == 1 and bool(_classes_of(toks[0]))
 
 
+@lru_cache(maxsize=200_000)
 def _classes_of(tok: str) -> tuple:
     plain, masks = _tables()
     if "*" in tok:
@@ -137,12 +141,6 @@ def _classes_of(tok: str) -> tuple:
     return plain.get(_key(tok), ())
 
 
-def _hash(text: str) -> int:
-    import xxhash
-
-    return xxhash.xxh32_intdigest(text) % DIM
-
-
 #: Classes that speak for a grade by themselves, and classes that only lend weight to those.
 _OWN = ("insult", "degrade", "coarse", "harm", "dehuman", "sex")
 _CONTEXT = ("group", "you", "person", "clinical")
@@ -152,8 +150,6 @@ _CLASS_FEATURES = [
     *(f"{c}2" for c in _OWN),
     *(f"{a}+{b}" for a, b in combinations(_PAIRED, 2) if a in _OWN),
 ]
-_FEATURE_AT = {f: DIM + i for i, f in enumerate(_CLASS_FEATURES)}
-SIZE = DIM + len(_CLASS_FEATURES)
 _NGRAM_WEIGHT = 1.0
 
 
@@ -165,60 +161,59 @@ _CONDITIONAL = (
 )
 
 
-def features(sentence: str) -> tuple[np.ndarray, np.ndarray]:
-    """(indices, values) of the sparse vector of a sentence."""
+def features(sentence: str) -> dict[str, float]:
+    """The sparse vector of a sentence: class features by name, word n-grams with a leading blank."""
     toks, _ = clean(sentence)
     found: dict[str, int] = {}
     for t in toks:
         for c in _classes_of(t):
             found[c] = found.get(c, 0) + 1
     for words, as_class, near, without in _CONDITIONAL:
-        if any(c in found for c in near) and not any(c in found for c in without) and any(t in words for t in toks):
+        if found and any(c in found for c in near) and not any(c in found for c in without) and any(t in words for t in toks):
             found[as_class] = found.get(as_class, 0) + 1
-    idx: dict[int, float] = {}
-    for n in (1, 2):
-        for i in range(len(toks) - n + 1):
-            idx[_hash(" ".join(toks[i : i + n]))] = 1.0
-    scale = _NGRAM_WEIGHT / max(4.0, len(idx) ** 0.5)
-    idx = {k: scale for k in idx}
+    grams = {f" {t}" for t in toks}
+    grams.update(f" {a} {b}" for a, b in zip(toks, toks[1:], strict=False))
+    out = dict.fromkeys(grams, _NGRAM_WEIGHT / max(4.0, len(grams) ** 0.5))
     own = [c for c in _OWN if c in found]
     for c in own:
-        idx[_FEATURE_AT[c]] = 1.0
+        out[c] = 1.0
         if found[c] > 1:
-            idx[_FEATURE_AT[f"{c}2"]] = 1.0
+            out[f"{c}2"] = 1.0
     if own:
         for a, b in combinations([c for c in _PAIRED if c in found], 2):
             if a in _OWN:
-                idx[_FEATURE_AT[f"{a}+{b}"]] = 1.0
-    return np.fromiter(idx.keys(), np.int64, len(idx)), np.fromiter(idx.values(), np.float64, len(idx))
+                out[f"{a}+{b}"] = 1.0
+    return out
 
 
 @dataclass
 class OrdinalModel:
-    """P(grade > k) = sigmoid(w.x - theta[k])."""
+    """P(grade > k) = sigmoid(w.x - theta[k]); only features seen in training have a weight."""
 
-    weights: np.ndarray
-    thetas: np.ndarray
+    weights: dict[str, float]
+    thetas: list[float]
 
-    def expected(self, vec: tuple[np.ndarray, np.ndarray]) -> float:
-        z = float(self.weights[vec[0]] @ vec[1])
-        return float((1.0 / (1.0 + np.exp(-np.clip(z - self.thetas, -60, 60)))).sum())
+    def expected(self, vec: dict[str, float]) -> float:
+        w = self.weights
+        z = sum(w[f] * v for f, v in vec.items() if f in w)
+        return sum(1.0 / (1.0 + math.exp(min(60.0, max(-60.0, t - z)))) for t in self.thetas)
 
 
 def fit_ordinal(
     vecs: list, grades: np.ndarray, n_grades: int, l2: float = 2e-3, steps: int = 400, rate: float = 0.1
 ) -> OrdinalModel:
     """Maximum likelihood with an L2 penalty on w, by Adam on the whole set; the gaps of theta stay positive."""
-    used = np.unique(np.concatenate([v[0] for v in vecs]))
-    at = {int(u): i for i, u in enumerate(used)}
+    used = sorted({f for v in vecs for f in v})
+    at = {f: i for i, f in enumerate(used)}
     x = np.zeros((len(vecs), len(used)))
-    for r, (i, v) in enumerate(vecs):
-        x[r, [at[int(j)] for j in i]] = v
+    for r, vec in enumerate(vecs):
+        for f, v in vec.items():
+            x[r, at[f]] = v
     k = n_grades - 1
     p = np.zeros(len(used) + k)
     m1, m2 = np.zeros_like(p), np.zeros_like(p)
     # word classes, alone or together, never lower a grade; only a clinical word next to them may
-    rising = np.array([at[j] for f, j in _FEATURE_AT.items() if j in at and "clinical" not in f], dtype=np.int64)
+    rising = np.array([at[f] for f in _CLASS_FEATURES if f in at and "clinical" not in f], dtype=np.int64)
     for t in range(1, steps + 1):
         w, raw = p[: len(used)], p[len(used) :]
         theta = np.cumsum(np.concatenate([raw[:1], np.log1p(np.exp(raw[1:]))]))
@@ -245,10 +240,9 @@ def fit_ordinal(
         m2 = 0.999 * m2 + 0.001 * g * g
         p -= rate * (m1 / (1 - 0.9**t)) / (np.sqrt(m2 / (1 - 0.999**t)) + 1e-8)
         p[rising] = np.maximum(p[rising], 0.0)
-    weights = np.zeros(SIZE)
-    weights[used] = p[: len(used)]
     raw = p[len(used) :]
-    return OrdinalModel(weights, np.cumsum(np.concatenate([raw[:1], np.log1p(np.exp(raw[1:]))])))
+    theta = np.cumsum(np.concatenate([raw[:1], np.log1p(np.exp(raw[1:]))]))
+    return OrdinalModel(dict(zip(used, p[: len(used)].tolist(), strict=True)), theta.tolist())
 
 
 def fit(examples: list[tuple[str, str]]) -> OrdinalModel:
@@ -285,7 +279,7 @@ def train(examples: DataFrame, key: str, text: str, label: str, max_examples: in
 
 def score(docs: DataFrame, key: str, text: str, model: OrdinalModel, keep: tuple[str, ...] = ()) -> DataFrame:
     """(key, keep..., score, sentence): expected grade of each text's worst sentence, and its number."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # a fixed number of weights
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by max_examples
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         m = shared.value
