@@ -76,5 +76,5 @@ def shares(tables: dict[str, tuple[DataFrame, str]], share: float) -> DataFrame:
     totals = roll_up(out, ["table_name"])
     joined = out.select("table_name", "key_value", F.col("n").alias("own")).join(totals, "table_name")
     return joined.filter(
-        F.col("key_value").isNotNull() & (F.col("own") >= F.col("n") * F.lit(share))
+        F.col("key_value").isNotNull() & (F.col("own") >= F.col("n") * F.lit(share * (1 - 1e-12)))
     ).select("table_name", "key_value", F.col("own").alias("n"))
