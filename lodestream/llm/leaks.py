@@ -8,7 +8,7 @@ single replaced words.
 
 A leak is a span of at least ``min_words`` successive words of the item of which at most one in
 ``replaced`` is another word. Such a span holds an intact run of at least 7 words (worst case: 30
-words with 3 replaced), so k = 6 and w = 2 can miss none. Words of the item are counted as written
+words with 3 replaced, evenly spread), so k = 6 and w = 2 can miss none. Words of the item are counted as written
 between blanks, so "7.15" and "six-minute" are one word each, however the document spaces them.
 
 Joining: while the items' kept hashes stay within ``index_bound`` they are broadcast, and each
@@ -126,8 +126,9 @@ def _extend(words, tokens, i: int, p: int, step: int, slack: int) -> tuple[list[
 
 def leaked_span(words, tokens, i: int, p: int, min_words: int = MIN_WORDS, replaced: int = REPLACED) -> tuple[bool, int, int]:
     """(leaks, first word, end word of the agreeing stretch) around word i of the item at token p."""
-    right, _ = _extend(words, tokens, i, p, 1, 4)
-    left, n_left = _extend(words, tokens, i - 1, p - 1, -1, 4)
+    slack = len(words) // replaced + 1  # as many in a row can be other words in a leak
+    right, _ = _extend(words, tokens, i, p, 1, slack)
+    left, n_left = _extend(words, tokens, i - 1, p - 1, -1, slack)
     flags = left[::-1] + right
     start = i - n_left
     # a window of at least min_words words with replaced * misses <= length
