@@ -91,6 +91,24 @@ def sum_of_squares(sizes: np.ndarray, capacity: int) -> np.ndarray:
     return out
 
 
+def placing_order(sizes: np.ndarray, last_share: float = 0.1) -> np.ndarray:
+    """The given order, but for the smallest tenth, which comes last, largest first, to close what is open."""
+    last = np.argsort(sizes, kind="stable")[: int(len(sizes) * last_share)][::-1]
+    first = np.setdiff1d(np.arange(len(sizes)), last, assume_unique=True)
+    return np.concatenate([first, last])
+
+
+def best_packing(sizes: np.ndarray, capacity: int) -> np.ndarray:
+    """Container of each item by the rule, in the better of two orders: few items pack better largest first."""
+    best = None
+    for order in (placing_order(sizes), np.argsort(-sizes, kind="stable")):
+        box = np.empty(len(sizes), dtype=np.int64)
+        box[order] = sum_of_squares(sizes[order], capacity)
+        if best is None or box.max(initial=-1) < best.max(initial=-1):
+            best = box
+    return best
+
+
 def pack(
     sized: DataFrame, key: str, n_texts: int, capacity: int = CAPACITY, per_shard: int = PER_SHARD
 ) -> DataFrame:
@@ -102,20 +120,20 @@ def pack(
     key_type = sized.schema[key].dataType.simpleString()
     src = sized.select(F.col(key).alias("k"), F.coalesce(F.col("tokens"), F.lit(0)).cast("bigint").alias("tokens"))
     shards = max(1, -(-n_texts // per_shard))
-    dealt = src.withColumn("shard", F.pmod(F.xxhash64("k"), F.lit(shards)).cast("int"))
+    dealt = src.withColumn("shard", F.pmod(F.xxhash64("k"), F.lit(shards)).cast("int")).withColumn(
+        "h", F.xxhash64(F.lit("order"), "k")
+    )
 
     def fill(pdf: pd.DataFrame) -> pd.DataFrame:
-        # longest first: the large leave gaps that the small fill; ties by key, so a rerun gives the same
-        pdf = pdf.sort_values(["tokens", "k"], ascending=[False, True], kind="stable").reset_index(drop=True)
+        # in order of a hash, so a rerun gives the same: the rule needs items of all sizes in no order
+        pdf = pdf.sort_values(["h", "k"], kind="stable").reset_index(drop=True)
         n = pdf["tokens"].to_numpy()
         parts = np.maximum(1, -(-n // capacity))
         rows = np.repeat(np.arange(len(pdf)), parts)
         part = np.arange(len(rows)) - np.repeat(np.cumsum(parts) - parts, parts)
         start = part * capacity
         size = np.minimum(capacity, n[rows] - start)
-        order = np.argsort(-size, kind="stable")
-        box = np.empty(len(rows), dtype=np.int64)
-        box[order] = sum_of_squares(size[order], capacity)
+        box = best_packing(size, capacity)
         shard = pdf["shard"].iloc[0] if len(pdf) else 0
         return pd.DataFrame(
             {

@@ -60,8 +60,8 @@ def test_pack_frame(spark):
 def test_little_space_is_left(spark):
     rng = np.random.default_rng(1)
     sizes = np.clip(rng.gamma(2, 120, 20_000).astype(int), 1, 1024)
-    got = P.sum_of_squares(-np.sort(-sizes), 1024)
-    assert 1 - sizes.sum() / ((got.max() + 1) * 1024) < 0.01
+    got = P.sum_of_squares(sizes[P.placing_order(sizes)], 1024)
+    assert 1 - sizes.sum() / ((got.max() + 1) * 1024) < 0.004
 
 
 def test_token_counts(spark):
