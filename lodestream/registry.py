@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from lodestream.queries import etl, learning, problems, retrieval, texts
+from lodestream.queries import etl, learning, problems, records, retrieval, texts
 
 
 def modules() -> list:
-    return [problems, etl, texts, retrieval, learning]
+    return [problems, etl, texts, retrieval, learning, records]
