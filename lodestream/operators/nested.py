@@ -30,6 +30,9 @@ NODE = (
     "struct<pre:int,post:int,depth:int,parent:int,type:string,name:string,pos:bigint,value:string>"
 )
 
+#: Records whose nodes a Python worker holds at a time.
+RECORDS_AT_ONCE = 256
+
 #: Child types: the modules and keys (letters and digits only, lower case) that hold them, and the
 #: fields that make a child count. ``text`` is the field that a bare string stands for.
 CHILD_TYPES = {
@@ -144,12 +147,10 @@ def label_nodes(records: DataFrame, key: str, json_col: str) -> DataFrame:
     def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         fields = ("pre", "post", "depth", "parent", "type", "name", "pos", "value")
         for pdf in batches:
-            yield pd.DataFrame(
-                {
-                    "k": pdf["k"],
-                    "nodes": [[dict(zip(fields, n, strict=True)) for n in label_record(t)] for t in pdf["t"]],
-                }
-            )
+            for at in range(0, len(pdf), RECORDS_AT_ONCE):  # bounds what a worker holds in nodes
+                part = pdf.iloc[at : at + RECORDS_AT_ONCE]
+                nodes = [[dict(zip(fields, n, strict=True)) for n in label_record(t)] for t in part["t"]]
+                yield pd.DataFrame({"k": part["k"].to_numpy(), "nodes": nodes})
 
     src = records.select(F.col(key).alias("k"), F.col(json_col).alias("t"))
     return src.mapInPandas(walk, f"k {key_type}, nodes array<{NODE}>").withColumnRenamed("k", key)
