@@ -113,6 +113,36 @@ def http_json(options: dict, token: str | None) -> tuple[list[dict], str | None]
 FETCHERS["http_json"] = http_json
 
 
+def counter(options: dict, token: str | None) -> tuple[list[dict], str | None]:
+    """Numbered records 0 to options['total'] - 1 in pages, without a network: for trials of a pipeline."""
+    at, size, total = int(token or options.get("since", 0)), int(options.get("page_size", 100)), int(options.get("total", 1000))
+    end = min(total, at + size)
+    return [{"n": i} for i in range(at, end)], str(end) if end < total else None
+
+
+FETCHERS["counter"] = counter
+
+
+def looked_up(df: DataFrame, col: str, fetch: Callable[[list[str]], dict[str, list[str]]], batch: int = 200, at_most: int = 50) -> DataFrame:
+    """(name, synonym): results of a service for the names of a column, asked in batches; a failed batch gives none."""
+    import pandas as pd
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            names = pdf["name"].tolist()
+            rows = []
+            for i in range(0, len(names), batch):
+                try:
+                    got = fetch(names[i : i + batch])
+                except Exception:  # noqa: BLE001 - the names of this batch stay unanswered
+                    continue
+                rows += [(n, x) for n in names[i : i + batch] for x in got.get(n, [])[:at_most]]
+            yield pd.DataFrame(rows, columns=["name", "synonym"])
+
+    names = df.select(F.col(col).alias("name")).filter("name <> ''").distinct()
+    return names.mapInPandas(run, "name string, synonym string")
+
+
 def retried(fetch: Callable, attempts: int = 5, first_wait: float = 2.0, most: float = 60.0) -> Callable:
     """Tries again with doubling waits; the last failure is raised, so no gap goes unnoticed."""
 
@@ -173,3 +203,24 @@ def write_csv(df: DataFrame, path: str) -> None:
 def append_by_day(df: DataFrame, path: str, ts: str = "ts") -> None:
     """Appends to a table partitioned by day; Spark commits the files of a run at once."""
     df.withColumn("dt", F.to_date(ts)).write.partitionBy("dt").mode("append").parquet(path)
+
+
+def write_json(df: DataFrame, path: str) -> None:
+    df.write.mode("overwrite").json(path)
+
+
+def log_run(spark: SparkSession, path: str, run: str, metrics: dict[str, float]) -> None:
+    """Appends a run's metrics, one row each."""
+    rows = [(run, k, float(v)) for k, v in sorted(metrics.items())]
+    spark.createDataFrame(rows, "run string, metric string, value double").coalesce(1).write.mode("append").parquet(path)
+
+
+def markdown_table(df: DataFrame, at_most: int = 100) -> str:
+    """The first rows of a small result as a Markdown table; a note tells when rows were left out."""
+    rows = df.limit(at_most + 1).collect()
+    cell = lambda v: "" if v is None else str(v).replace("|", "\\|").replace("\n", " ")
+    lines = ["| " + " | ".join(df.columns) + " |", "|" + "---|" * len(df.columns)]
+    lines += ["| " + " | ".join(cell(v) for v in r) + " |" for r in rows[:at_most]]
+    if len(rows) > at_most:
+        lines.append(f"\nOnly the first {at_most} rows are shown.")
+    return "\n".join(lines)
