@@ -335,6 +335,7 @@ def link_names(names: DataFrame) -> DataFrame:
 
 def name_pairs(linked: DataFrame) -> DataFrame:
     """(kind, name_a, name_b) of all different names of one entity, name_a first by code points."""
+    linked = cut_lineage(linked)  # read twice below
     a = linked.select("kind", "entity", F.col("name").alias("name_a"))
     b = linked.select("kind", "entity", F.col("name").alias("name_b"))
     return a.join(b, ["kind", "entity"]).filter("name_a < name_b").select("kind", "name_a", "name_b")

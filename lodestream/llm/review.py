@@ -22,7 +22,7 @@ import math
 import re
 import unicodedata
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from functools import lru_cache
 from itertools import combinations
 
@@ -161,13 +161,22 @@ _CONDITIONAL = (
 )
 
 
-def features(sentence: str) -> dict[str, float]:
-    """The sparse vector of a sentence: class features by name, word n-grams with a leading blank."""
+def features(sentence: str, groups: frozenset = frozenset()) -> dict[str, float]:
+    """The sparse vector of a sentence: class features by name, word n-grams with a leading blank.
+
+    groups are further words that name groups of people, learned from the labelled texts.
+    """
     toks, _ = clean(sentence)
     found: dict[str, int] = {}
     for t in toks:
         for c in _classes_of(t):
             found[c] = found.get(c, 0) + 1
+        if t in groups and "group" not in _classes_of(t):
+            found["group"] = found.get("group", 0) + 1
+    if "group" not in found and any(a == "people" and b == "from" for a, b in zip(toks, toks[1:], strict=False)):
+        found["group"] = 1
+    if "degrade" in found and len(found.keys() - {"degrade", "clinical"}) == 0:
+        del found["degrade"]  # said of a thing
     for words, as_class, near, without in _CONDITIONAL:
         if found and any(c in found for c in near) and not any(c in found for c in without) and any(t in words for t in toks):
             found[as_class] = found.get(as_class, 0) + 1
@@ -192,6 +201,10 @@ class OrdinalModel:
 
     weights: dict[str, float]
     thetas: list[float]
+    groups: frozenset = frozenset()
+
+    def score(self, sentence: str) -> float:
+        return self.expected(features(sentence, self.groups))
 
     def expected(self, vec: dict[str, float]) -> float:
         w = self.weights
@@ -245,6 +258,28 @@ def fit_ordinal(
     return OrdinalModel(dict(zip(used, p[: len(used)].tolist(), strict=True)), theta.tolist())
 
 
+def group_words(rows: list[tuple[list[str], int]]) -> frozenset:
+    """Words that stand next to many different words in hateful texts and never occur in clean ones.
+
+    A phrase repeats its neighbours, the name of a group goes with many phrases.
+    """
+    clean_words, near = set(), {}
+    for sents, grade in rows:
+        for s in sents:
+            toks, _ = clean(s)
+            if grade == GRADES["clean"]:
+                clean_words.update(toks)
+            elif grade == GRADES["hateful"]:
+                for a, t, b in zip(["", *toks], toks, [*toks[1:], ""], strict=False):
+                    before, after = near.setdefault(t, (set(), set()))
+                    before.add(a)
+                    after.add(b)
+    own = {t for t in near if any(c in _OWN for c in _classes_of(t))}
+    return frozenset(
+        t for t, (a, b) in near.items() if max(len(a), len(b)) >= 3 and len(t) > 3 and t not in clean_words and t not in own
+    )
+
+
 def fit(examples: list[tuple[str, str]]) -> OrdinalModel:
     """From (text, label): first whole texts, then the one sentence of each text that bears its label."""
     rows = [(sentences(t), GRADES[lab]) for t, lab in examples if t and lab in GRADES]
@@ -252,17 +287,18 @@ def fit(examples: list[tuple[str, str]]) -> OrdinalModel:
     if len({g for _, g in rows}) < 2:
         raise ValueError("examples of at least two grades are needed")
     n = max(GRADES.values()) + 1
-    vecs = [features(" ".join(s)) for s, _ in rows]
+    groups = group_words(rows)
+    vecs = [features(" ".join(s), groups) for s, _ in rows]
     first = fit_ordinal(vecs, np.array([g for _, g in rows]), n)
     vecs, grades = [], []
     for s, g in rows:
-        each = [features(x) for x in s]
+        each = [features(x, groups) for x in s]
         top = max(range(len(s)), key=lambda i: first.expected(each[i])) if g else -1
         for i, v in enumerate(each):
             if not g or i == top:
                 vecs.append(v)
                 grades.append(g)
-    return fit_ordinal(vecs, np.array(grades), n)
+    return replace(fit_ordinal(vecs, np.array(grades), n), groups=groups)
 
 
 def train(examples: DataFrame, key: str, text: str, label: str, max_examples: int = MAX_EXAMPLES) -> OrdinalModel:
@@ -288,7 +324,7 @@ def score(docs: DataFrame, key: str, text: str, model: OrdinalModel, keep: tuple
             for t in pdf["__text"]:
                 top, where = 0.0, None
                 for i, s in enumerate(sentences(t or "")):
-                    e = m.expected(features(s))
+                    e = m.score(s)
                     if where is None or e > top:
                         top, where = e, i
                 best.append(top)

@@ -11,7 +11,7 @@ def model(spark, sf):
 
 
 def worst(model, text):
-    return max((model.expected(R.features(s)) for s in R.sentences(text)), default=0.0)
+    return max((model.score(s) for s in R.sentences(text)), default=0.0)
 
 
 def test_cleaning_undoes_disguises():
