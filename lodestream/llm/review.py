@@ -41,7 +41,7 @@ FOUND_AT = 0.25
 _SENTENCE = re.compile(r"(?<=[.!?…])[\"'”’)]*\s+|[\r\n]+")
 _RUN3 = re.compile(r"([^\W\d_])\1{2,}")
 _RUN2 = re.compile(r"(.)\1+")
-_SPELLED = re.compile(r"(?<![^\W_])(?:[^\W\d_*][ ]){2,}[^\W\d_*](?![^\W_]|\*)")
+_SPELLED = re.compile(r"(?<![^\W_])(?<!\*)(?:[^\W\d_*][ ]){2,}[^\W\d_*](?![^\W_]|\*)")
 _INNER = re.compile(r"(?<=[^\W\d_])[._\-‐‑·](?=[^\W\d_])")
 _TOKEN = re.compile(r"[^\W\d_][^\W_*]*\*+[^\W_]*|[^\W_]+")
 #: What a disguise needs: without any of this a sentence is read as it stands.
@@ -88,9 +88,18 @@ def _unsign(m: re.Match) -> str:
 
 
 def _respell(m: re.Match) -> str:
-    """A word spelled with blanks; a leading article or pronoun stays apart where the rest is a listed word."""
+    """A word spelled with blanks; where listed words and single letters make up the whole, they are told apart."""
     w = m[0].replace(" ", "")
-    return f"{w[0]} {w[1:]}" if w[0] in "aiyu" and not _known(w) and _known(w[1:]) else w
+    if _known(w) or len(w) > 40:
+        return w
+    best: list = [[]] + [None] * len(w)  # fewest parts that end at each place
+    for end in range(1, len(w) + 1):
+        for start in range(max(0, end - 16), end):
+            part = w[start:end]
+            if best[start] is not None and (part in ("a", "i", "u") or end - start > 2 and _known(part)):
+                if best[end] is None or len(best[start]) + 1 < len(best[end]):
+                    best[end] = [*best[start], part]
+    return " ".join(best[-1]) if best[-1] else w
 
 
 def clean(sentence: str) -> tuple[list[str], int]:

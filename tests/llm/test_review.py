@@ -18,6 +18,8 @@ def test_cleaning_undoes_disguises():
     same = ["you idiot", "you 1d10t", "you i d i o t", "you id_iot", "you idіоt", "you idi​ot", "YOU IDIOOOOT"]
     for s in same:
         assert "idiot" in R.clean(s)[0], s
+    assert R.clean("a u g l y a s s h o l e and")[0] == ["a", "ugly", "asshole", "and"]
+    assert R.clean("p a t h e t i c x")[0][0] == "patheticx"
     assert R.clean("5mg of HbA1c at p=0.3")[0][:2] == ["5mg", "of"]
 
 
