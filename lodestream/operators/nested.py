@@ -21,8 +21,9 @@ from __future__ import annotations
 
 import json
 from collections.abc import Iterator
+from itertools import accumulate, chain
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -144,16 +145,21 @@ def label_nodes(records: DataFrame, key: str, json_col: str) -> DataFrame:
     """(key, nodes): each record's nodes with interval labels, in pre-order; other columns are left out."""
     key_type = records.schema[key].dataType.simpleString()
 
-    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        fields = ("pre", "post", "depth", "parent", "type", "name", "pos", "value")
-        for pdf in batches:
-            for at in range(0, len(pdf), RECORDS_AT_ONCE):  # bounds what a worker holds in nodes
-                part = pdf.iloc[at : at + RECORDS_AT_ONCE]
-                nodes = [[dict(zip(fields, n, strict=True)) for n in label_record(t)] for t in part["t"]]
-                yield pd.DataFrame({"k": part["k"].to_numpy(), "nodes": nodes})
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = (pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.string(), pa.int64(), pa.string())
+        names = ("pre", "post", "depth", "parent", "type", "name", "pos", "value")
+        for batch in batches:
+            for at in range(0, batch.num_rows, RECORDS_AT_ONCE):  # bounds what a worker holds in nodes
+                part = batch.slice(at, RECORDS_AT_ONCE)
+                each = [label_record(t) for t in part.column(1).to_pylist()]
+                ends = list(accumulate(map(len, each), initial=0))
+                flat = list(zip(*chain.from_iterable(each), strict=True)) or [()] * len(kinds)
+                cols = [pa.array(c, k) for c, k in zip(flat, kinds, strict=True)]
+                nodes = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays(cols, names))
+                yield pa.RecordBatch.from_arrays([part.column(0), nodes], ["k", "nodes"])
 
     src = records.select(F.col(key).alias("k"), F.col(json_col).alias("t"))
-    return src.mapInPandas(walk, f"k {key_type}, nodes array<{NODE}>").withColumnRenamed("k", key)
+    return src.mapInArrow(walk, f"k {key_type}, nodes array<{NODE}>").withColumnRenamed("k", key)
 
 
 def node_table(labelled: DataFrame, key: str) -> DataFrame:
