@@ -4,7 +4,7 @@ Texts become words (letters and digits only, compatibility forms and letter case
 characters dropped), words become hashed k-grams, and of each window of w successive k-grams the
 smallest hash is kept, the rightmost among equals. Two texts that share k + w - 1 successive words
 then share a kept hash, wherever the span lies. Shared hashes are extended to both sides over
-single replaced words.
+replaced words, each of which may be any one word of the document as written between blanks.
 
 A leak is a span of at least ``min_words`` successive words of the item of which at most one in
 ``replaced`` is another word. Such a span holds an intact run of at least 7 words (worst case: 30
@@ -37,6 +37,7 @@ REPLACED = 10
 INDEX_BOUND = 1_000_000
 
 _TOKEN = re.compile(r"[^\W_]+")
+_HYPHEN = re.compile(r"[^\S\r\n]*[-\u2010\u2013]\s*")
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -83,66 +84,85 @@ def kept_hashes(tokens: list[str], cache: dict[str, int], k: int = K, w: int = W
     return gram[at], at
 
 
-def _extend(words, tokens, i: int, p: int, step: int, slack: int) -> tuple[list[bool], int]:
+def joints(text: str) -> tuple[list[int], list[int], list[bool]]:
+    """For each token of a document where the word that it belongs to ends and starts, and whether blanks stand before
+    it inside that word. Tokens are one word without a blank between them, or around a hyphen (broken lines)."""
+    folded = _fold(text)
+    spans = [m.span() for m in _TOKEN.finditer(folded)]
+    n = len(spans)
+    end, start, apart = list(range(1, n + 1)), list(range(n)), [False] * n
+    for k in range(1, n):
+        gap = folded[spans[k - 1][1] : spans[k][0]]
+        blank = any(ch.isspace() for ch in gap)
+        if not blank or _HYPHEN.fullmatch(gap):
+            start[k], apart[k] = start[k - 1], blank
+    for k in range(n - 2, -1, -1):
+        if start[k + 1] == start[k]:
+            end[k] = end[k + 1]
+    return end, start, apart
+
+
+def _extend(words, tokens, bounds, i: int, p: int, step: int, allowed: int) -> list[int]:
     """Follows the item's words from i and the document's tokens from p in direction step (1 or -1).
 
-    A word that differs may stand for one token or for as many as it has itself; the choice is the one
-    after which the next words agree for longer. Ends after slack differing words in a row.
+    At m of the result stands the largest number of words that are passed with m differing ones and end in an
+    equal one. A word that differs may stand for one token, for as many as it has itself or for any first
+    part or the whole of the document's word; all ways are followed at once, the fewest differing words
+    counting at each place. Words are equal when their characters are, however they are divided.
     """
 
+    ends, starts, apart = bounds
+
     def match(i: int, p: int) -> int:
-        if not 0 <= i < len(words):
-            return 0
-        w = words[i]
-        a = p if step > 0 else p - len(w) + 1
-        return len(w) if a >= 0 and tuple(tokens[a : a + len(w)]) == w else 0
-
-    def run(i: int, p: int) -> int:
-        got = 0
-        while got < 3 and (m := match(i, p)):
-            got, i, p = got + 1, i + step, p + step * m
-        return got
-
-    flags: list[bool] = []
-    bad = 0
-    while 0 <= i < len(words) and 0 <= p < len(tokens):
-        m = match(i, p)
-        if m:
-            flags.append(True)
-            bad = 0
-            p += step * m
-        else:
-            flags.append(False)
-            bad += 1
-            if bad >= slack:
-                break
-            size = len(words[i])
-            p += step * max((size, 1), key=lambda s: run(i + step, p + step * s))
+        whole, got, n = "".join(words[i]), "", 0
+        while len(got) < len(whole) and 0 <= p < len(tokens):
+            got = got + tokens[p] if step > 0 else tokens[p] + got
+            p, n = p + step, n + 1
+        return n if got == whole else 0
+
+    def added(i: int, p: int, n: int) -> bool:
+        """The n tokens are two words around a hyphen, one of them the item's own: no other word, but one too many."""
+        a = p if step > 0 else p - n + 1
+        whole, part = "".join(words[i]), "".join(tokens[a : a + n])
+        return any(apart[a + 1 : a + n]) and (part.startswith(whole) or part.endswith(whole))
+
+    reach = [0] * (allowed + 1)
+    at, passed = {p: 0}, 0
+    while at and 0 <= i < len(words):
+        passed += 1
+        after: dict[int, int] = {}
+        for p, missed in at.items():
+            if not 0 <= p < len(tokens):
+                continue
+            m = match(i, p)
+            if m:
+                reach[missed] = passed
+                q = p + step * m
+                after[q] = min(after.get(q, missed), missed)
+            if missed == allowed:
+                continue
+            group = ends[p] - p if step > 0 else p + 1 - starts[p]
+            for n in {*range(1, min(group, 4) + 1), group, len(words[i])}:
+                if n == m or added(i, p, n):
+                    continue
+                q = p + step * n
+                after[q] = min(after.get(q, missed + 1), missed + 1)
+        at = after
         i += step
-    while flags and not flags[-1]:
-        flags.pop()
-    return flags, len(flags)
-
-
-def leaked_span(words, tokens, i: int, p: int, min_words: int = MIN_WORDS, replaced: int = REPLACED) -> tuple[bool, int, int]:
-    """(leaks, first word, end word of the agreeing stretch) around word i of the item at token p."""
-    slack = len(words) // replaced + 1  # as many in a row can be other words in a leak
-    right, _ = _extend(words, tokens, i, p, 1, slack)
-    left, n_left = _extend(words, tokens, i - 1, p - 1, -1, slack)
-    flags = left[::-1] + right
-    start = i - n_left
-    # a window of at least min_words words with replaced * misses <= length
-    low, best_low, total = [0], 0, 0
-    for f in flags:
-        total += 1 if f else 1 - replaced
-        low.append(total)
-    best = None
-    for end in range(min_words, len(low)):
-        cand = low[end - min_words]
-        best = cand if best is None else min(best, cand)
-        if low[end] - best >= 0:
-            return True, start, start + len(flags)
-    return False, start, start + len(flags)
+    return reach
+
+
+def leaked_span(words, tokens, bounds, i: int, p: int, min_words: int = MIN_WORDS, replaced: int = REPLACED) -> tuple[bool, int, int]:
+    """(leaks, first word, end word of the longest leak) around word i of the item at token p."""
+    allowed = len(words) // replaced  # no leak has more differing words
+    right = _extend(words, tokens, bounds, i, p, 1, allowed)
+    left = _extend(words, tokens, bounds, i - 1, p - 1, -1, allowed)
+    best = (0, 0)
+    for m, a in enumerate(left):
+        for n, b in enumerate(right[: allowed + 1 - m]):
+            if a + b >= max(min_words, replaced * (m + n), sum(best) + 1):
+                best = (a, b)
+    return sum(best) > 0, i - best[0], i + best[1]
 
 
 class ItemIndex:
@@ -182,6 +202,7 @@ class ItemIndex:
         lo, hi = np.searchsorted(self.hashes, h, "left"), np.searchsorted(self.hashes, h, "right")
         found: dict[int, tuple] = {}
         tried: set = set()
+        bounds = None
         for j in np.flatnonzero(hi > lo).tolist():
             for e in range(lo[j], hi[j]):
                 n = int(self.owner[e])
@@ -189,7 +210,8 @@ class ItemIndex:
                 p = int(at[j]) + skip
                 if n in found or (n, word - p) in tried:
                     continue
-                ok, a, b = leaked_span(self.words[n], tokens, word, p)
+                bounds = bounds or joints(text)
+                ok, a, b = leaked_span(self.words[n], tokens, bounds, word, p)
                 tried.add((n, word - p))
                 if ok:
                     found[n] = (self.ids[n], a, b)
@@ -199,7 +221,8 @@ class ItemIndex:
 def find_leaks(
     docs: DataFrame, doc_key: str, doc_text: str, items: DataFrame, item_key: str, item_text: str, index_bound: int = INDEX_BOUND
 ) -> DataFrame:
-    """(doc key, item key, first_word, end_word), one row per document and item that leaks into it."""
+    """(doc key, item key, first_word, end_word), one row per document and item that leaks into it; the words are
+    those of the longest leak around its first hit that is in one."""
     d = docs.select(F.col(doc_key).alias("d"), F.col(doc_text).alias("t")).filter(F.length("t") > 0)
     it = items.select(F.col(item_key).alias("i"), F.col(item_text).alias("x")).filter(F.length("x") > 0)
     dt, itype = d.schema["d"].dataType.simpleString(), it.schema["i"].dataType.simpleString()

@@ -55,3 +55,33 @@ def test_winnowing_keeps_one_hash_per_window():
     assert len(h) == len(at) and (at[1:] - at[:-1] <= L.W).all()
     assert len(L.kept_hashes(toks[:3], {})[0]) == 0
     assert len(L.kept_hashes(toks[: L.K], {})[0]) == 1
+
+
+def test_replaced_words_of_several_tokens():
+    w = [f"w{i}" for i in range(30)]
+    w[15], w[20] = "30", "patients"
+    ix = L.ItemIndex([(1, " ".join(w))])
+
+    def found(at: int, *new: str) -> bool:
+        return bool(ix.search("start " + " ".join([*w[:at], *new, *w[at + 1 :]]) + " end", {}))
+
+    for at in (14, 15):
+        for word in ("follow-up", "30.5", "patient's", "treat-\nment", "a-b/c.d", "1,234.5", "follow - up"):
+            assert found(at, word), (at, word)
+    assert found(20, "patient's") and found(20, "pati-\nents") and found(15, "x-30.5")
+    assert not found(15, "gap", "30") and not found(15, "30", "gap") and not found(14, "one", "two")
+    assert not found(14, "gap", "-", w[14]) and not found(14, w[14], "-", "gap")
+
+
+def test_no_span_with_long_replacements_is_missed():
+    rnd = random.Random(5)
+    w = [f"v{rnd.randrange(10**6)}" + rnd.choice(["", "", "-b", ".5"]) for _ in range(80)]
+    ix = L.ItemIndex([(1, " ".join(w))])
+    for _ in range(300):
+        n = rnd.randrange(25, 61)
+        a = rnd.randrange(0, 80 - n)
+        span = w[a : a + n]
+        for j in rnd.sample(range(1, n - 1), n // 10):
+            span[j] = rnd.choice(["x", "follow-up", "30.5", "a-b-c", "treat-\nment", span[j].split("-")[0] + "-z"])
+        text = " ".join(["q"] * rnd.randrange(5) + span + ["r"] * rnd.randrange(5))
+        assert ix.search(text, {}), (n, a)
