@@ -24,6 +24,7 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pandas as pd
@@ -170,6 +171,7 @@ class ItemIndex:
 
     def __init__(self, items: list[tuple[int, str]]):
         self.words: list = []
+        self.tokens: list = []
         self.ids: list = []
         cache: dict[str, int] = {}
         hashes, owner, word_at = [], [], []
@@ -181,15 +183,16 @@ class ItemIndex:
             h, at = kept_hashes(tokens, cache)
             n = len(self.words)
             self.words.append(words)
+            self.tokens.append(tokens)
             self.ids.append(item_id)
             for x, a in zip(h.tolist(), at.tolist(), strict=True):
                 hashes.append(x)
                 owner.append(n)
-                # the first whole word at or after the k-gram's start, and its distance in tokens
+                # the first whole word at or after the k-gram's start, its distance in tokens and its place among them
                 skip = 0
                 while a + skip < len(tokens) and first[a + skip]:
                     skip += 1
-                word_at.append((word_of[a + skip] if a + skip < len(tokens) else len(words) - 1, skip))
+                word_at.append((word_of[a + skip] if a + skip < len(tokens) else len(words) - 1, skip, a + skip))
         order = np.argsort(np.array(hashes, np.uint64), kind="stable")
         self.hashes = np.array(hashes, np.uint64)[order]
         self.owner = np.array(owner, np.int64)[order]
@@ -201,20 +204,28 @@ class ItemIndex:
         h, at = kept_hashes(tokens, cache)
         lo, hi = np.searchsorted(self.hashes, h, "left"), np.searchsorted(self.hashes, h, "right")
         found: dict[int, tuple] = {}
-        tried: set = set()
+        # A leak around one word of an intact stretch can be widened to its other words, so one try is enough for
+        # the stretch, but only for it: where it ends, by item and distance of the places.
+        tried: dict[tuple[int, int], int] = {}
         bounds = None
         for j in np.flatnonzero(hi > lo).tolist():
             for e in range(lo[j], hi[j]):
                 n = int(self.owner[e])
-                word, skip = self.place[e]
+                word, skip, a = self.place[e]
                 p = int(at[j]) + skip
-                if n in found or (n, word - p) in tried:
+                if n in found or a < tried.get((n, a - p), 0):
                     continue
                 bounds = bounds or joints(text)
-                ok, a, b = leaked_span(self.words[n], tokens, bounds, word, p)
-                tried.add((n, word - p))
+                ok, first, end = leaked_span(self.words[n], tokens, bounds, word, p)
                 if ok:
-                    found[n] = (self.ids[n], a, b)
+                    found[n] = (self.ids[n], first, end)
+                    continue
+                run = 0
+                for x, y in zip(islice(self.tokens[n], a, None), islice(tokens, p, None), strict=False):
+                    if x != y:
+                        break
+                    run += 1
+                tried[n, a - p] = a + run
         return list(found.values())
 
 

@@ -85,3 +85,32 @@ def test_no_span_with_long_replacements_is_missed():
             span[j] = rnd.choice(["x", "follow-up", "30.5", "a-b-c", "treat-\nment", span[j].split("-")[0] + "-z"])
         text = " ".join(["q"] * rnd.randrange(5) + span + ["r"] * rnd.randrange(5))
         assert ix.search(text, {}), (n, a)
+
+
+def test_later_stretch_at_the_same_distance(spark):
+    w = [f"w{i}" for i in range(100)]
+    masked = w[:12] + [f"other{i}" for i in range(20)] + w[32:72]
+    twice = w[:12] + ["x"] * 12 + w[24:40] + ["y"] * 12 + w[52:80]
+    d, i = frames(spark, [(1, " ".join(masked), 0), (2, " ".join(twice), 0), (3, " ".join(w[:12] + ["x"] * 20 + w[32:56]), 0)], [(1, " ".join(w), 0)])
+    for bound in (L.INDEX_BOUND, 0):
+        got = sorted(tuple(r) for r in L.find_leaks(d, "doc_id", "text", i, "item_id", "text", bound).collect())
+        assert got == [(1, 1, 32, 72), (2, 1, 52, 80)]
+
+
+def test_same_as_every_alignment_by_place():
+    """Masked and intact stretches at the same distance: a leak is found exactly where the rule has one."""
+    rnd = random.Random(3)
+    w = [f"v{i}" for i in range(120)]
+    ix = L.ItemIndex([(1, " ".join(w))])
+    hits = 0
+    for _ in range(400):
+        same = []
+        while len(same) < len(w):
+            same += [True] * rnd.randrange(4, 18) + [False] * rnd.choice([2, 3, 9, 20])
+        same = same[: len(w)]
+        want = any(
+            same[a] and same[b - 1] and 10 * same[a:b].count(False) <= b - a for a in range(len(w)) for b in range(a + 25, len(w) + 1)
+        )
+        hits += want
+        assert bool(ix.search(" ".join(x if ok else "z" for x, ok in zip(w, same, strict=True)), {})) == want
+    assert 40 < hits < 360
