@@ -129,23 +129,49 @@ def overlapping(gold: DataFrame, pred: DataFrame) -> DataFrame:
     return g.join(p, "doc_id").filter(F.greatest("g.start", "p.start") < F.least("g.end", "p.end"))
 
 
-def greedy_matches(gold: DataFrame, pred: DataFrame, same_label: bool = True) -> DataFrame:
-    """(doc_id, gold_id, pred_id): each gold span in order takes the best scored free prediction it overlaps.
+def _label_fits(accepted: dict[str, list[str]] | None) -> Column:
+    """Equal labels, or one of the accepted labels where the gold label has a list of them."""
+    fits = F.col("g.label") == F.col("p.label")
+    for label, others in (accepted or {}).items():
+        fits = F.when(F.col("g.label") == label, F.col("p.label").isin(*others)).otherwise(fits)
+    return fits
+
+
+def greedy_matches(
+    gold: DataFrame, pred: DataFrame, same_label: bool = True, strategy: str = "relaxed", accepted: dict[str, list[str]] | None = None
+) -> DataFrame:
+    """(doc_id, gold_id, pred_id): each gold span in order takes the best scored free prediction that it fits.
+
+    Strategies: strict (equal spans), relaxed (overlapping spans), text_only (equal text but for letter case,
+    which needs a column text on both sides). Scores that are null or not positive count as 1e-9; among
+    equals the first span wins. accepted: the predicted labels that do for a gold label, in place of its own.
 
     The order makes it sequential within a document, so each document is resolved by itself; only
-    overlapping pairs reach that step.
+    fitting pairs reach that step.
     """
-    pairs = overlapping(gold, pred)
+    if strategy not in ("strict", "relaxed", "text_only"):
+        raise ValueError(f"unknown strategy: {strategy}")
+    g = gold.select("doc_id", F.struct("*").alias("g"))
+    p = pred.select("doc_id", F.struct("*").alias("p"))
+    if strategy == "relaxed":
+        pairs = overlapping(gold, pred)
+    elif strategy == "strict":
+        keys = lambda c: [F.col(f"{c}.start").alias("start"), F.col(f"{c}.end").alias("end")]
+        pairs = g.select("*", *keys("g")).join(p.select("*", *keys("p")), ["doc_id", "start", "end"])
+    else:
+        low = lambda c: F.lower(f"{c}.text").alias("low")
+        pairs = g.select("*", low("g")).join(p.select("*", low("p")), ["doc_id", "low"])
     if same_label:
-        pairs = pairs.filter("g.label = p.label")
+        pairs = pairs.filter(_label_fits(accepted))
     kind = gold.schema["doc_id"].dataType.simpleString()
     flat = pairs.select(
-        "doc_id", F.col("g.start").alias("gs"), F.col("g.end").alias("ge"), F.col("g.id").alias("gid"), F.col("p.id").alias("pid"), F.col("p.score").alias("score")
-    )
+        "doc_id", F.col("g.start").alias("gs"), F.col("g.end").alias("ge"), F.col("g.id").alias("gid"), F.col("p.id").alias("pid"),
+        F.greatest(F.col("p.score"), F.lit(1e-9)).alias("score"), F.col("p.start").alias("ps"), F.col("p.end").alias("pe"),
+    )
 
     def resolve(pdf: pd.DataFrame) -> pd.DataFrame:
         taken, done, rows = set(), set(), []
-        for r in pdf.sort_values(["gs", "ge", "gid", "score", "pid"], ascending=[True, True, True, False, True]).itertuples():
+        for r in pdf.sort_values(["gs", "ge", "gid", "score", "ps", "pe", "pid"], ascending=[True, True, True, False, True, True, True]).itertuples():
             if r.gid not in done and r.pid not in taken:
                 done.add(r.gid)
                 taken.add(r.pid)
@@ -155,6 +181,19 @@ def greedy_matches(gold: DataFrame, pred: DataFrame, same_label: bool = True) ->
     return flat.groupBy("doc_id").applyInPandas(resolve, f"doc_id {kind}, gold_id bigint, pred_id bigint")
 
 
+def matched_labels(gold: DataFrame, pred: DataFrame, strategy: str, accepted: dict[str, list[str]] | None = None) -> DataFrame:
+    """(gold, pred) for label_stats: a match counts for its gold label; the rest of both sides stands alone.
+
+    Golds without a label (those that a label map leaves out) are not counted.
+    """
+    gold = gold.filter("label is not null")
+    m = greedy_matches(gold, pred, strategy=strategy, accepted=accepted)
+    g = gold.select("doc_id", F.col("id").alias("gold_id"), F.col("label").alias("gold")).join(m, ["doc_id", "gold_id"], "left")
+    p = pred.select("doc_id", F.col("id").alias("pred_id"), F.col("label").alias("pred")).join(m, ["doc_id", "pred_id"], "left_anti")
+    hits = g.select("gold", F.when(F.col("pred_id").isNotNull(), F.col("gold")).alias("pred"))
+    return hits.unionByName(p.select(F.lit(None).cast("string").alias("gold"), "pred"))
+
+
 def gold_ladder(gold: DataFrame, pred: DataFrame) -> DataFrame:
     """(doc_id, id, verdict): exact, wrong_label, partial or not_found, the best that any prediction reaches."""
     o = overlapping(gold, pred)
@@ -165,6 +204,83 @@ def gold_ladder(gold: DataFrame, pred: DataFrame) -> DataFrame:
     return gold.select("doc_id", "id").join(best, ["doc_id", "id"], "left").select("doc_id", "id", verdict.alias("verdict"))
 
 
+def _text_pairs() -> dict[str, Column]:
+    """Tests of a gold span g and a prediction p of the same document; null texts and labels fit nothing."""
+    g, p = F.lower("g.text"), F.lower("p.text")
+    tests = {
+        "label": F.col("g.label") == F.col("p.label"),
+        "text": g == p,
+        # greatest and least skip nulls
+        "overlap": F.col("p.start").isNotNull() & F.col("p.end").isNotNull() & (F.greatest("g.start", "p.start") < F.least("g.end", "p.end")),
+        "part": F.contains(g, p) | F.contains(p, g),
+    }
+    return {k: F.coalesce(v, F.lit(False)) for k, v in tests.items()}
+
+
+def _with_predictions(gold: DataFrame, pred: DataFrame) -> DataFrame:
+    """(doc_id, g, p): every gold span beside every prediction of its document, p null where there is none."""
+    g = gold.select("doc_id", F.struct("start", "end", "label", "id", "text").alias("g"))
+    return g.join(pred.select("doc_id", F.struct("start", "end", "label", "id", "text").alias("p")), "doc_id", "left")
+
+
+def six_way_ladder(gold: DataFrame, pred: DataFrame) -> DataFrame:
+    """(doc_id, id, verdict) of spans with text; the first that any prediction of the document reaches.
+
+    matched_exact: text and label; matched_relaxed: overlap and label; wrong_label: text only;
+    partial_span: overlap only; text_found_no_label: one text inside the other; not_found.
+    """
+    t = _text_pairs()
+    level = (
+        F.when(t["label"] & t["text"], 5).when(t["label"] & t["overlap"], 4).when(t["text"], 3)
+        .when(t["overlap"], 2).when(t["part"], 1).otherwise(0)
+    )
+    names = ["not_found", "text_found_no_label", "partial_span", "wrong_label", "matched_relaxed", "matched_exact"]
+    best = _with_predictions(gold, pred).groupBy("doc_id", F.col("g.id").alias("id")).agg(F.max(level).alias("level"))
+    return best.select("doc_id", "id", F.element_at(F.array(*[F.lit(x) for x in names]), F.col("level") + 1).alias("verdict"))
+
+
+def span_recall(gold: DataFrame, pred: DataFrame) -> DataFrame:
+    """Whatever the predicted label: golds found by text and by overlap, per label and, with label null, of all.
+
+    Golds without a label are not counted.
+    """
+    t = _text_pairs()
+    per = _with_predictions(gold.filter("label is not null"), pred).groupBy("doc_id", "g.id", "g.label").agg(
+        F.max(t["text"]).alias("text"), F.max(t["overlap"]).alias("span")
+    )
+    counts = [F.count("*").alias("total"), F.count_if("text").alias("text_matched"), F.count_if("span").alias("span_matched")]
+    both = per.groupBy("label").agg(*counts).unionByName(per.agg(*counts).withColumn("label", F.lit(None).cast("string")))
+    pct = lambda c: F.round(100 * F.col(c) / F.greatest("total", F.lit(1)), 1)
+    return both.select("*", pct("text_matched").alias("text_recall_pct"), pct("span_matched").alias("span_recall_pct"))
+
+
+def quartile_diagnosis(docs: DataFrame, gold: DataFrame, pred: DataFrame, misses: int = 10) -> DataFrame:
+    """The documents (doc_id) at the quartiles of their number of golds, those without any included.
+
+    (quartile, doc_id, golds, text_matched, relaxed_matched, missed): golds with a label, those with a
+    prediction of the same label and text, or the same label and an overlap, and the first that have no
+    such text, each with the first text of the same label that is a part of it or has it as a part.
+    """
+    sizes = docs.select("doc_id").distinct().join(gold.groupBy("doc_id").agg(F.count("*").alias("n")), "doc_id", "left")
+    ordered = sizes.select("doc_id", F.struct(F.coalesce("n", F.lit(0)).alias("n"), "doc_id").alias("k"), F.lit(1).alias("one"))
+    ranks = running_sums(ordered, "k", ["one"]).select("doc_id", (F.col("run_one") - 1).cast("bigint").alias("at"))
+    n = ranks.count()
+    picks = ranks.select("doc_id", F.explode(F.array(*[F.struct(F.lit(q).alias("quartile"), F.lit(q * n // 4).cast("bigint").alias("place")) for q in (1, 2, 3)])).alias("q"), "at")
+    picks = picks.filter("at = q.place").select("doc_id", "q.quartile")
+    few = F.broadcast(picks.select("doc_id").distinct())
+    t = _text_pairs()
+    first = F.min(F.when(t["label"] & t["part"], F.struct("p.start", "p.end", "p.id", "p.text")))
+    per = _with_predictions(gold.join(few, "doc_id", "left_semi").filter("label is not null"), pred.join(few, "doc_id", "left_semi")).groupBy(
+        "doc_id", "g.start", "g.end", "g.id", "g.text", "g.label"
+    ).agg(F.max(t["label"] & t["text"]).alias("hit"), F.max(t["label"] & t["overlap"]).alias("relaxed"), first.alias("first"))
+    missed = F.array_sort(F.collect_list(F.when(~F.col("hit"), F.struct("start", "end", "id", "text", "label", F.col("first.text").alias("partial")))))
+    found = per.groupBy("doc_id").agg(
+        F.count("*").alias("golds"), F.count_if("hit").alias("text_matched"), F.count_if("relaxed").alias("relaxed_matched"), F.slice(missed, 1, misses).alias("missed")
+    )
+    zero = [F.coalesce(c, F.lit(0)).alias(c) for c in ("golds", "text_matched", "relaxed_matched")]
+    return picks.join(found, "doc_id", "left").select("quartile", "doc_id", *zero, "missed")
+
+
 def ks_statistic(a: DataFrame, b: DataFrame) -> DataFrame:
     """One row: the largest distance between the two distributions of column x, and both sizes."""
     both = a.select("x", F.lit(1).alias("in_a")).unionByName(b.select("x", F.lit(0).alias("in_a"))).filter("x is not null")

@@ -192,16 +192,79 @@ def overlapping_spans(spark: SparkSession, d: str) -> DataFrame:
   from g join p on g.doc_id = p.doc_id and greatest(g.s, p.s) < least(g.e, p.e) group by 1, 2)
 select g.doc_id, g.id, case level when 3 then 'exact' when 2 then 'wrong_label' when 1 then 'partial' else 'not_found' end as verdict from g left join b using (doc_id, id)""")
 def gold_ladder(spark: SparkSession, d: str) -> DataFrame:
-    """EV-06, EV-07, EV-13."""
+    """EV-07 by spans alone, in four verdicts; text_ladder has all six."""
     return E.gold_ladder(*_spans(spark, d))
 
 
 @query()
 def greedy_matches(spark: SparkSession, d: str) -> DataFrame:
-    """EV-01, EV-11, WIN-10: one-to-one matching in gold order."""
+    """EV-01, WIN-10: one-to-one matching in gold order."""
     return E.greedy_matches(*_spans(spark, d))
 
 
+_TEXTS = """
+with e as (select user_id as doc_id, event_id as id, epoch_us(ts) // 60000000 as s, epoch_us(ts) // 60000000 + 600 as e, event_type as label, event_id % 2 = 0 as gold,
+  case when event_id % 2 = 0 then 'Item ' else 'ITEM ' end || (floor(value)::bigint % 997) as text from events),
+g as (select * from e where gold), p as (select * from e where not gold),
+b as (select g.doc_id, g.id, g.s, g.label, p.label = g.label as same, lower(p.text) = lower(g.text) as txt, p.s is not null and greatest(g.s, p.s) < least(g.e, p.e) as span,
+  contains(lower(p.text), lower(g.text)) or contains(lower(g.text), lower(p.text)) as part from g left join p using (doc_id))
+"""
+
+
+def _texts(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """The spans of _spans with a text each, in different letter case on the two sides."""
+    value = table(spark, d, "events").select(F.col("event_id").alias("id"), (F.floor("value") % 997).cast("string").alias("text"))
+    g, p = _spans(spark, d)
+    return tuple(x.join(value, "id").withColumn("text", F.concat(F.lit(w), "text")) for x, w in ((g, "Item "), (p, "ITEM ")))
+
+
+@query(_TEXTS + """select doc_id, id, case when bool_or(same and txt) then 'matched_exact' when bool_or(same and span) then 'matched_relaxed' when bool_or(txt) then 'wrong_label'
+  when bool_or(span) then 'partial_span' when bool_or(part) then 'text_found_no_label' else 'not_found' end as verdict from b group by 1, 2""")
+def text_ladder(spark: SparkSession, d: str) -> DataFrame:
+    """EV-07."""
+    return E.six_way_ladder(*_texts(spark, d))
+
+
+@query(_TEXTS + """, h as (select doc_id, id, label, coalesce(bool_or(txt), false) as txt, coalesce(bool_or(span), false) as span from b group by 1, 2, 3)
+select label, count(*)::bigint as total, count(*) filter (where txt)::bigint as text_matched, count(*) filter (where span)::bigint as span_matched,
+  round(100 * count(*) filter (where txt) / greatest(count(*), 1), 1) as text_recall_pct, round(100 * count(*) filter (where span) / greatest(count(*), 1), 1) as span_recall_pct
+from h group by grouping sets ((label), ())""")
+def span_recall(spark: SparkSession, d: str) -> DataFrame:
+    """EV-06."""
+    return E.span_recall(*_texts(spark, d))
+
+
+@query(_TEXTS + """, c as (select doc_id, count(*) filter (where gold) as n from e group by 1), r as (select doc_id, row_number() over (order by n, doc_id) - 1 as at, count(*) over () as docs from c),
+h as (select doc_id, id, bool_or(same and txt) as hit, bool_or(same and span) as relaxed from b group by 1, 2)
+select q::int as quartile, r.doc_id, count(h.id)::bigint as golds, count(*) filter (where hit)::bigint as text_matched, count(*) filter (where relaxed)::bigint as relaxed_matched
+from r join (values (1), (2), (3)) v(q) on r.at = q * docs // 4 left join h using (doc_id) group by 1, 2""")
+def quartile_diagnosis(spark: SparkSession, d: str) -> DataFrame:
+    """EV-13; quartile_misses lists the misses."""
+    return E.quartile_diagnosis(table(spark, d, "events").select(F.col("user_id").alias("doc_id")), *_texts(spark, d)).drop("missed")
+
+
+@query()
+def quartile_misses(spark: SparkSession, d: str) -> DataFrame:
+    """EV-13: the first ten misses of each picked document with their partial hits."""
+    q = E.quartile_diagnosis(table(spark, d, "events").select(F.col("user_id").alias("doc_id")), *_texts(spark, d))
+    return q.select("quartile", "doc_id", F.explode("missed").alias("m")).select("quartile", "doc_id", "m.*")
+
+
+@query()
+def match_modes(spark: SparkSession, d: str) -> DataFrame:
+    """EV-01, EV-11: measures per label in own and in mapped labels, by each strategy."""
+    gold, pred = _texts(spark, d)
+    to = F.create_map(*[F.lit(x) for kv in {"click": "use", "view": "use", "purchase": "order", "signup": "order"}.items() for x in kv])
+    mapped = [x.withColumn("label", to[F.col("label")]) for x in (gold, pred)]
+    runs = {"native": (gold, pred, None), "mapped": (mapped[0], mapped[1].filter("label is not null"), {"order": ["order", "use"]})}
+    out = None
+    for mode, (g, p, accepted) in runs.items():
+        for strategy in ("strict", "relaxed", "text_only"):
+            one = E.label_stats(E.matched_labels(g, p, strategy, accepted)).select(F.lit(mode).alias("mode"), F.lit(strategy).alias("strategy"), "*")
+            out = one if out is None else out.unionByName(one)
+    return out
+
+
 @query()
 def spans_without_overlap(spark: SparkSession, d: str) -> DataFrame:
     """SRT-09."""

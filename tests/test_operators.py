@@ -164,3 +164,35 @@ def test_passages_skip_empty_rows(spark):
     assert rows(P.trial_passages(df), "doc_id", "text") == [("N1", "Title: T. Conditions: a, b.")]
     with pytest.raises(ValueError):
         P.all_passages({})
+
+
+def test_text_ladder_and_strategies(spark):
+    cols = "doc_id string, start bigint, end bigint, label string, id bigint, text string"
+    g = spark.createDataFrame([("d", 10 * i, 10 * i + 5, "x", i, t) for i, t in enumerate(["Alpha", "beta", "gamma", "delta", "eps", "zeta"])] + [("e", 0, 5, "x", 9, "alpha"), ("d", 90, 95, None, 7, "nolabel")], cols)
+    p = spark.createDataFrame([
+        ("d", 70, 75, "x", 20, "ALPHA", 0.0), ("d", 12, 18, "x", 21, "other", None), ("d", 70, 75, "y", 22, "Gamma", 0.5),
+        ("d", 32, 38, "y", 23, "more", 0.5), ("d", 80, 85, "y", 24, "epsilon", 0.5), ("d", 10, 15, "z", 25, "q", 0.9),
+    ], cols + ", score double")
+    got = {(r["doc_id"], r["id"]): r["verdict"] for r in E.six_way_ladder(g, p).collect()}
+    want = ["matched_exact", "matched_relaxed", "wrong_label", "partial_span", "text_found_no_label", "not_found"]
+    assert [got["d", i] for i in range(6)] == want and got["e", 9] == got["d", 7] == "not_found"
+    r = {x["label"]: x for x in E.span_recall(g, p).collect()}
+    assert (r[None]["total"], r[None]["text_matched"], r[None]["span_matched"], r["x"]["text_recall_pct"]) == (7, 2, 2, 28.6)
+    assert rows(E.greedy_matches(g, p)) == [("d", 1, 21)]
+    assert rows(E.greedy_matches(g, p, strategy="text_only")) == [("d", 0, 20)]
+    assert rows(E.greedy_matches(g, p, strategy="strict")) == []
+    assert rows(E.greedy_matches(g, p, strategy="strict", accepted={"x": ["x", "z"]})) == [("d", 1, 25)]
+    assert rows(E.greedy_matches(g, p, accepted={"x": ["y"]})) == [("d", 3, 23)]
+    s = {x["label"]: (x["tp"], x["fp"], x["fn"]) for x in E.label_stats(E.matched_labels(g, p, "strict", {"x": ["x", "z"]})).collect()}
+    assert s == {"x": (1, 2, 6), "y": (0, 3, 0)}
+    docs = spark.createDataFrame([("a",), ("b",), ("d",), ("e",)], "doc_id string")
+    q = {x["quartile"]: x for x in E.quartile_diagnosis(docs, g, p).collect()}
+    assert [q[i]["doc_id"] for i in (1, 2, 3)] == ["b", "e", "d"] and q[1]["golds"] == 0
+    assert (q[3]["golds"], q[3]["text_matched"], q[3]["relaxed_matched"]) == (6, 1, 1)
+    assert [m["text"] for m in q[3]["missed"]] == ["beta", "gamma", "delta", "eps", "zeta"] and q[3]["missed"][0]["partial"] is None
+
+
+def test_equal_scores_go_to_the_first_span(spark):
+    g = spark.createDataFrame([("d", 0, 9, "x", 1)], "doc_id string, start bigint, end bigint, label string, id bigint")
+    p = spark.createDataFrame([("d", 5, 7, "x", 10, 0.5), ("d", 1, 3, "x", 11, 0.5)], "doc_id string, start bigint, end bigint, label string, id bigint, score double")
+    assert rows(E.greedy_matches(g, p)) == [("d", 1, 11)]
