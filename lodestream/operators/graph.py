@@ -14,6 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodestream.functions.text import content_id, sentences
 from lodestream.session import cut_lineage
 
 #: Vectors of queries that are broadcast at a time (64 MB at 1,024 dimensions).
@@ -136,6 +137,45 @@ def spread(seeds: DataFrame, weights: DataFrame, hops: int, threshold: float, to
     return reached.groupBy("entity").agg(F.sum("score").alias("score"), F.min("tier").alias("tier"))
 
 
+def sentence_mentions(passages: DataFrame, entities: DataFrame) -> DataFrame:
+    """(sentence_id, entity), each pair once: which sentences name which one-word entities.
+
+    Sentences with the same text are one, by their content id.
+    """
+    s = passages.select(F.explode(sentences(F.col("text"))).alias("text")).distinct().select(content_id("sentence-", F.col("text")).alias("passage_id"), "text")
+    return mentions(s, entities).select(F.col("passage_id").alias("sentence_id"), "entity")
+
+
+def spread_sentences(seeds: DataFrame, incidence: DataFrame, similarity: DataFrame, hops: int, threshold: float, top_sentences: int = 3) -> DataFrame:
+    """Score propagation entity -> its best unused sentences -> their entities: (entity, score, tier).
+
+    seeds (entity, score); incidence (sentence_id, entity); similarity (sentence_id, similarity) to the query.
+    In each hop every entity of at least ``threshold`` selects its ``top_sentences`` most similar sentences
+    that no earlier hop selected. A selected sentence carries the sum of all active scores of its entities,
+    times its similarity, if that is positive, to each of them, and is used up. score is the sum of all that
+    reached an entity, its seed included; tier the last hop in which it was active, null if it never was.
+    """
+    inc = cut_lineage(incidence.select("sentence_id", "entity").distinct().join(similarity.filter("similarity is not null"), "sentence_id"))
+    active = seeds.select("entity", "score")
+    total = active.withColumn("tier", F.lit(0))
+    used = None
+    for hop in range(1, hops + 1):
+        live = inc.join(active.filter((F.col("score") >= threshold) & (F.col("score") > 0)), "entity")
+        if used is not None:
+            live = live.join(used, "sentence_id", "left_anti")
+        w = Window.partitionBy("entity").orderBy(F.desc("similarity"), "sentence_id")
+        ranked = live.withColumn("r", F.row_number().over(w))
+        picked = cut_lineage(
+            ranked.groupBy("sentence_id", "similarity").agg(F.sum("score").alias("s"), F.min("r").alias("r")).filter(F.col("r") <= top_sentences)
+            .select("sentence_id", (F.col("s") * F.col("similarity")).alias("s"))
+        )
+        ids = picked.select("sentence_id")
+        used = ids if used is None else used.unionByName(ids)
+        active = cut_lineage(picked.filter("s > 0").join(inc, "sentence_id").groupBy("entity").agg(F.sum("s").alias("score")))
+        total = total.unionByName(active.withColumn("tier", F.when(F.col("score") >= threshold, F.lit(hop))))
+    return total.groupBy("entity").agg(F.sum("score").alias("score"), F.max("tier").alias("tier"))
+
+
 def passage_scores(m: DataFrame, activated: DataFrame, dense: DataFrame, ratio: float = 2.0) -> DataFrame:
     """(passage_id, score): ratio * scaled dense score + ln(1 + sum of score * ln(1 + n) / tier)."""
     bonus = m.join(activated, "entity").groupBy("passage_id").agg(

@@ -40,7 +40,7 @@ with m as (select passage_id, w as entity, count(*)::bigint as n from (
 
 @query(_MENTIONS + "select passage_id, entity, n from m")
 def mention_table(spark: SparkSession, d: str) -> DataFrame:
-    """GR-03, GR-05, GR-26, JN-08: entities that passages name."""
+    """GR-03, GR-05, JN-08: entities that passages name."""
     return _mentions(spark, d)
 
 
@@ -141,12 +141,34 @@ t1 as (select st.entity, sum(score * w) as score, 1 as tier from t0 join st on f
 t2 as (select st.entity, sum(score * w) as score, 2 as tier from t1 join st on f = t1.entity group by 1 having sum(score * w) >= 0.01)
 select entity, round(sum(score), 5) as score, min(tier)::int as tier from (select * from t0 union all select * from t1 union all select * from t2) group by 1""")
 def two_hop_spread(spark: SparkSession, d: str) -> DataFrame:
-    """GR-11, GR-12, WIN-03, WIN-13: scores carried from entity to passages to entities, twice."""
+    """Scores carried from entity to whole passages to entities, twice, by mention shares; sentence_spread has GR-11."""
     m = _mentions(spark, d)
     seed = m.agg(F.min("entity").alias("entity")).withColumn("score", F.lit(1.0))
     return G.spread(seed, G.occurrence_weights(m), 2, 0.01, top_passages=50).withColumn("score", F.round("score", 5))
 
 
+def _sentence_mentions(spark: SparkSession, d: str) -> DataFrame:
+    return G.sentence_mentions(table(spark, d, "passages").select("text"), _entities(spark, d))
+
+
+@query()
+def sentence_mentions(spark: SparkSession, d: str) -> DataFrame:
+    """GR-26: which sentences name which entities."""
+    return _sentence_mentions(spark, d)
+
+
+@query()
+def sentence_spread(spark: SparkSession, d: str) -> DataFrame:
+    """GR-11, GR-12, WIN-03, WIN-13: scores carried from entity to unused sentences to entities, twice.
+
+    Without a model the similarity stands in for one: 1 / (1 + entities of the sentence).
+    """
+    m = _sentence_mentions(spark, d)
+    seed = m.agg(F.min("entity").alias("entity")).withColumn("score", F.lit(1.0))
+    sim = m.groupBy("sentence_id").agg((1 / (1 + F.count("*"))).alias("similarity"))
+    return G.spread_sentences(seed, m, sim, 2, 0.01, top_sentences=50).withColumn("score", F.round("score", 5))
+
+
 def _ppr_sql(steps: int) -> str:
     its = "".join(
         f""", r{i} as materialized (select node, sum(r) as r from (

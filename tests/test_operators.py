@@ -196,3 +196,16 @@ def test_equal_scores_go_to_the_first_span(spark):
     g = spark.createDataFrame([("d", 0, 9, "x", 1)], "doc_id string, start bigint, end bigint, label string, id bigint")
     p = spark.createDataFrame([("d", 5, 7, "x", 10, 0.5), ("d", 1, 3, "x", 11, 0.5)], "doc_id string, start bigint, end bigint, label string, id bigint, score double")
     assert rows(E.greedy_matches(g, p)) == [("d", 1, 11)]
+
+
+def test_sentences_are_used_once(spark):
+    inc = spark.createDataFrame([(1, "a"), (1, "b"), (2, "a"), (2, "c"), (3, "a"), (4, "b"), (4, "d"), (1, "b")], "sentence_id bigint, entity string")
+    sim = spark.createDataFrame([(1, 0.5), (2, 0.4), (3, 0.1), (4, 0.5)], "sentence_id bigint, similarity double")
+    seeds = spark.createDataFrame([("a", 1.0)], "entity string, score double")
+    got = {r["entity"]: (round(r["score"], 6), r["tier"]) for r in G.spread_sentences(seeds, inc, sim, 2, 0.2, top_sentences=2).collect()}
+    # hop 1: sentences 1 and 2; hop 2: a (0.9) has only 3 left, b (0.5) only 4
+    assert got == {"a": (1.99, 1), "b": (0.75, 2), "c": (0.4, 1), "d": (0.25, 2)}
+    p = spark.createDataFrame([(1, "Aspirin helped them. No aspirin here, but zinc zinc.\nAspirin helped them.")], "passage_id int, text string")
+    e = spark.createDataFrame([("aspirin",), ("zinc",)], "entity string")
+    m = G.sentence_mentions(p, e).collect()
+    assert len(m) == 3 and len({r["sentence_id"] for r in m}) == 2
