@@ -8,8 +8,8 @@ post-order number. Two facts carry all parent-child links afterwards:
 
 So the node tables of single types (``child_table``) are cut out of the label array by slicing:
 the fields of a child are the nodes contained in its interval. No self-join and no shuffle is
-needed, the work stays linear in the record, and one record with very many children never leaves
-its row.
+needed, and the work is linear in the record: children of one type do not contain each other, so
+their intervals together are no longer than the record.
 
 Defined cases: a null, unparsable or scalar record has no nodes; a null, blank or missing list has
 no children; an element that is null or has only blank texts keeps its place in the count of
@@ -177,17 +177,23 @@ def _field_of(n: Column, names, test=Column.isNotNull):
     return lambda x: (x["parent"] == n["pre"]) & x["name"].isin(*names) & test(x["value"])
 
 
+def _children(labelled: DataFrame, key: str, *types: str) -> DataFrame:
+    """(key, n, inside): the nodes of some types, each with the nodes contained in its interval.
+
+    Those are contiguous in pre-order, so they are cut out while the record is still one row; what
+    is laid out as rows are the intervals, never the whole record beside each child.
+    """
+    cut = F.transform(
+        F.filter("nodes", lambda n: n["type"].isin(*types)),
+        lambda n: F.struct(n.alias("n"), F.slice("nodes", n["pre"] + 2, descendants(n)).alias("inside")),
+    )
+    return labelled.select(key, F.inline(cut))
+
+
 def child_table(labelled: DataFrame, key: str, child: str) -> DataFrame:
     """One row per child of the type: (key, pos, pre, post, parent, its fields); links by interval containment."""
     spec = CHILD_TYPES[child]
-    one = labelled.select(
-        key, "nodes", F.explode(F.filter("nodes", lambda n: n["type"] == child)).alias("n")
-    ).select(
-        key,
-        "n",
-        # the nodes contained in n's interval: contiguous in pre-order
-        F.slice("nodes", F.col("n.pre") + 2, descendants(F.col("n"))).alias("inside"),
-    )
+    one = _children(labelled, key, child)
     cols = []
     for field, keys in spec["fields"].items():
         hit = F.filter("inside", _field_of(F.col("n"), keys))
@@ -208,9 +214,7 @@ def child_table(labelled: DataFrame, key: str, child: str) -> DataFrame:
 def found_children(labelled: DataFrame, key: str) -> DataFrame:
     """(key, child, pos) of every child of every type, in one pass over the labels."""
     n = F.col("n")
-    one = labelled.select(
-        key, "nodes", F.explode(F.filter("nodes", lambda x: x["type"].isin(*CHILD_TYPES))).alias("n")
-    ).select(key, "n", F.slice("nodes", n["pre"] + 2, descendants(n)).alias("inside"))
+    one = _children(labelled, key, *CHILD_TYPES)
 
     def filled(value: Column) -> Column:
         return value.isNotNull() & ~value.rlike(_BLANK)

@@ -7,22 +7,21 @@ from pyspark.sql import functions as F
 
 
 def heavy_keys(df: DataFrame, key: str, share: float = 0.01) -> list:
-    """The keys holding at least ``share`` of all rows, in key order; see ``heavy_and_total``."""
-    return heavy_and_total(df, key, share)[0]
+    """The keys holding at least ``share`` of all rows, in key order.
 
+    One partial aggregation; there can be at most 1/share such keys, so what reaches the driver is
+    bounded whatever the input. Null keys are never heavy. Empty input: none.
+    """
+    return heavy_of_states(df.groupBy(key).agg(F.count(F.lit(1)).alias("__n")), key, "__n", share)
 
-def heavy_and_total(df: DataFrame, key: str, share: float) -> tuple[list, int]:
-    """The keys holding at least ``share`` of all rows, in key order, and the number of rows.
 
-    A count and one partial aggregation; there can be at most 1/share such keys, so what reaches the
-    driver is bounded whatever the input. Null keys are never heavy. Empty input: ([], 0).
-    """
-    total = df.count()
+def heavy_of_states(states: DataFrame, key: str, n: str, share: float) -> list:
+    """``heavy_keys`` from states that stand for n rows each; several states may have one key."""
+    sums = states.groupBy(F.col(key).alias("k")).agg(F.sum(n).alias("n"))
+    total = states.agg(F.sum(n)).first()[0]
     if not total:
-        return [], 0
-    counts = df.groupBy(F.col(key).alias("k")).agg(F.count(F.lit(1)).alias("n"))
-    rows = counts.filter(F.col("k").isNotNull() & (F.col("n") >= total * share)).select("k").collect()
-    return sorted(r[0] for r in rows), total
+        return []
+    return sorted(r[0] for r in sums.filter(F.col("k").isNotNull() & (F.col("n") >= total * share)).select("k").collect())
 
 
 def is_heavy(key: Column, heavy: list) -> Column:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -25,13 +27,20 @@ def local_session(cores: str = "*", app: str = "lodestream", **conf: str) -> Spa
         .config("spark.driver.memory", "12g")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
     )
-    for k, v in {**RESULT_CONF, **conf}.items():
+    for k, v in {**RESULT_CONF, "spark.checkpoint.dir": _private_folder(), **conf}.items():
         builder = builder.config(k, v)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     return spark
 
 
+def _private_folder() -> str:
+    """A folder for local sessions, gone when the process ends."""
+    path = tempfile.mkdtemp(prefix="lodestream-")
+    atexit.register(shutil.rmtree, path, ignore_errors=True)
+    return path
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder named in spark.checkpoint.dir; a private one only where none is set (tests)."""
     sc = spark.sparkContext
@@ -43,7 +52,7 @@ def checkpoint_dir(spark: SparkSession) -> str:
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         if not sc.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="lodestream-ckpt-"))
+        sc.setCheckpointDir(_private_folder())
     return sc._jsc.sc().getCheckpointDir().get()
 
 

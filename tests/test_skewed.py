@@ -43,6 +43,19 @@ def test_orphans_against_brute_force(spark, share):
     assert rows(orphans.orphan_counts(refs, target, share)) == per
 
 
+@pytest.mark.parametrize("per_merge", [1, 7])
+def test_orphans_in_the_quarter_of_a_version_are_dealt_over_copies(spark, monkeypatch, per_merge):
+    monkeypatch.setattr(orphans, "PER_MERGE", per_merge)
+    hour = lambda n: T(2021, 2, 1) + dt.timedelta(hours=n)
+    spans = [("k", hour(n), hour(n + 3), 1) for n in range(0, 100, 10)] + [("k", T(2019, 1, 1), T(2019, 1, 2), 1), ("j", None, hour(5), 1)]
+    data = [(n, "k", hour(n), "") for n in range(100)] + [(200 + n, "j", hour(n), "") for n in range(10)] * 2
+    want = sorted([n for n in range(100) if n % 10 > 2] + [200 + n for n in range(5, 10)] * 2)
+    refs, target = _refs(spark, data), _target(spark, spans)
+    for share in (0.01, 2.0):
+        assert sorted(r["row_id"] for r in orphans.orphan_rows(refs, target, share).collect()) == want
+        assert rows(orphans.orphan_counts(refs, target, share)) == [("r", "2021Q1", len(want))]
+
+
 def test_orphans_of_empty_tables(spark):
     none = _target(spark, [])
     assert orphans.orphan_rows(_refs(spark, []), none).count() == 0
