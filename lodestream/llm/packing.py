@@ -25,39 +25,60 @@ CAPACITY = 1024
 PER_SHARD = 20_000
 
 
-def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
-    """Path of an installed public tokenizer file."""
+def tokenizer_path(name: str = "byte_bpe_50k.tiktoken") -> str:
+    """Path of an installed public tokenizer file; it must lie at the same place on every executor."""
     import public_tokenizers
 
     return public_tokenizers.path(name)
 
 
+def token_counter(path: str):
+    """texts -> their numbers of tokens. Files of ranks are read by tiktoken, which counts several times
+    faster and is the default; other files by tokenizers. Strings of special tokens are ordinary text."""
+    if path.endswith(".tiktoken"):
+        import base64
+
+        import public_tokenizers
+        import tiktoken
+
+        with open(path, "rb") as f:
+            ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, f)}
+        enc = tiktoken.Encoding("counter", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+        return lambda texts: [len(enc.encode_ordinary(t)) for t in texts]
+    import os
+
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    from tokenizers import Tokenizer
+
+    tok = Tokenizer.from_file(path)
+    tok.encode_special_tokens = True
+
+    def count(texts: list[str]) -> list[int]:
+        blocks = (texts[i : i + 256] for i in range(0, len(texts), 256))
+        return [len(e) for b in blocks for e in tok.encode_batch_fast(b, add_special_tokens=False)]
+
+    return count
+
+
 def count_tokens(texts: DataFrame, key: str, text: str, path: str | None = None) -> DataFrame:
     """(key, tokens): number of tokens of each text; the tokenizer file is read once per Python worker."""
     path = path or tokenizer_path()
     key_type = texts.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import os
-
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        tok = Tokenizer.from_file(path)
-        tok.encode_special_tokens = True
+        count = token_counter(path)
         for pdf in batches:
-            whole = pdf["t"].fillna("").tolist()
-            sizes: list[int] = []
-            for i in range(0, len(whole), 256):
-                sizes += [len(e.ids) for e in tok.encode_batch(whole[i : i + 256], add_special_tokens=False)]
-            yield pd.DataFrame({"k": pdf["k"], "tokens": sizes})
+            yield pd.DataFrame({"k": pdf["k"], "tokens": count(pdf["t"].fillna("").tolist())})
 
     src = texts.select(F.col(key).alias("k"), F.col(text).alias("t"))
     return src.mapInPandas(run, f"k {key_type}, tokens bigint").withColumnRenamed("k", key)
 
 
-def sum_of_squares(sizes: np.ndarray, capacity: int) -> np.ndarray:
-    """Container number of each item, placed in the given order; sizes lie between 0 and capacity."""
+def sum_of_squares(sizes: np.ndarray, capacity: int, most: int | None = None) -> np.ndarray | None:
+    """Container number of each item, placed in the given order; sizes lie between 0 and capacity.
+
+    None as soon as more than ``most`` containers are open or filled.
+    """
     count = np.zeros(capacity + 1, dtype=np.int64)  # open containers by gap, gap 0 left out of the sum
     open_at: list[list[int]] = [[] for _ in range(capacity + 1)]
     out = np.empty(len(sizes), dtype=np.int64)
@@ -82,6 +103,8 @@ def sum_of_squares(sizes: np.ndarray, capacity: int) -> np.ndarray:
             b = open_at[g].pop()
             count[g] -= 1
         else:
+            if made == most:
+                return None
             g, b = capacity, made
             made += 1
         if g > s:
@@ -99,13 +122,23 @@ def placing_order(sizes: np.ndarray, last_share: float = 0.1) -> np.ndarray:
 
 
 def best_packing(sizes: np.ndarray, capacity: int) -> np.ndarray:
-    """Container of each item by the rule, in the better of two orders: few items pack better largest first."""
+    """Container of each item by the rule, in the better of two orders: few items pack better largest first.
+
+    The second order is tried only where the first has not reached the least possible number, and is given
+    up once it needs as many containers.
+    """
     best = None
+    most = None
     for order in (placing_order(sizes), np.argsort(-sizes, kind="stable")):
-        box = np.empty(len(sizes), dtype=np.int64)
-        box[order] = sum_of_squares(sizes[order], capacity)
-        if best is None or box.max(initial=-1) < best.max(initial=-1):
-            best = box
+        got = sum_of_squares(sizes[order], capacity, most)
+        if got is None:
+            continue
+        best = np.empty(len(sizes), dtype=np.int64)
+        best[order] = got
+        made = int(best.max(initial=-1)) + 1
+        if made <= max(1, -(-int(sizes.sum()) // capacity)):
+            break
+        most = made - 1
     return best
 
 
@@ -145,7 +178,8 @@ def pack(
             }
         )
 
-    out = dealt.groupBy("shard").applyInPandas(
+    # as many partitions as shards: merged by size in bytes, many would be packed one after the other
+    out = dealt.repartition(shards, "shard").groupBy("shard").applyInPandas(
         fill, f"k {key_type}, part int, token_start bigint, tokens bigint, container string"
     )
     return out.withColumnRenamed("k", key)

@@ -68,3 +68,14 @@ def test_token_counts(spark):
     df = spark.createDataFrame([(1, "Hello world"), (2, ""), (3, None), (4, "<|endoftext|>")], "id bigint, text string")
     got = {r["id"]: r["tokens"] for r in P.count_tokens(df, "id", "text").collect()}
     assert got[1] == 2 and got[2] == got[3] == 0 and got[4] > 1
+
+
+def test_both_libraries_count_alike():
+    texts = ["", "  two  blanks\n\n\tand tabs ", "It's 12,345.6 µg/m² naïve ﬁ", "日本語 текст ﷽", "a" * 3000, "<|endoftext|>", "x\u200by\u00a0z"]
+    assert P.token_counter(P.tokenizer_path())(texts) == P.token_counter(P.tokenizer_path("byte_bpe_50k.json"))(texts)
+
+
+def test_a_packing_is_given_up_above_its_bound():
+    sizes = np.array([6, 6, 6])
+    assert P.sum_of_squares(sizes, 10, 2) is None and P.sum_of_squares(sizes, 10, 3).max() == 2
+    assert sorted(P.best_packing(np.array([5, 7, 3, 5]), 10)) == [0, 0, 1, 1]
