@@ -12,8 +12,12 @@ words with 3 replaced, evenly spread), so k = 6 and w = 2 can miss none. Words o
 between blanks, so "7.15" and "six-minute" are one word each, however the document spaces them.
 
 Joining: while the items' kept hashes stay within ``index_bound`` they are broadcast, and each
-document is searched where it lies, without a shuffle; beyond that, hashes of both sides meet in a
-shuffle join and only documents with a hit are read again. The bound is checked before.
+document is searched where it lies, without a shuffle. The bound is checked before. Beyond it, the
+items are told apart by their hashes: an item with a hash that more than ``common`` items hold (a
+phrase of many items) is searched for in blocks within the bound, each broadcast in turn, so common
+hashes never meet in pairs; the hashes of all other items meet those of the documents in a salted
+shuffle join, with at most ``common`` pairs for each hash of a document, and only documents with a hit
+are read again. Both ways are exact, so their union is.
 
 Defined cases: null and empty texts match nothing; an item below ``min_words`` can not leak; repeated
 documents each yield their rows; a repeated item id keeps all its texts.
@@ -31,11 +35,17 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lodestream.session import cut_lineage
+
 K, W = 6, 2
 MIN_WORDS = 25
 REPLACED = 10
-#: Kept hashes of all items that may be broadcast (8 bytes and a place each).
-INDEX_BOUND = 1_000_000
+#: Kept hashes of items that may be broadcast at a time (with the words about 200 bytes each in a Python worker).
+INDEX_BOUND = 300_000
+#: A hash held by more items than this is common.
+COMMON = 50
+#: Tasks over which the documents of one hash are spread in the shuffle join.
+SALTS = 16
 
 _TOKEN = re.compile(r"[^\W_]+")
 _HYPHEN = re.compile(r"[^\S\r\n]*[-\u2010\u2013]\s*")
@@ -230,26 +240,56 @@ class ItemIndex:
 
 
 def find_leaks(
-    docs: DataFrame, doc_key: str, doc_text: str, items: DataFrame, item_key: str, item_text: str, index_bound: int = INDEX_BOUND
+    docs: DataFrame,
+    doc_key: str,
+    doc_text: str,
+    items: DataFrame,
+    item_key: str,
+    item_text: str,
+    index_bound: int = INDEX_BOUND,
+    common: int = COMMON,
 ) -> DataFrame:
     """(doc key, item key, first_word, end_word), one row per document and item that leaks into it; the words are
     those of the longest leak around its first hit that is in one."""
     d = docs.select(F.col(doc_key).alias("d"), F.col(doc_text).alias("t")).filter(F.length("t") > 0)
     it = items.select(F.col(item_key).alias("i"), F.col(item_text).alias("x")).filter(F.length("x") > 0)
-    dt, itype = d.schema["d"].dataType.simpleString(), it.schema["i"].dataType.simpleString()
-    # a word has two characters at least with its blank, and no more k-grams are kept than there are words
-    size = it.agg(F.coalesce(F.sum(F.length("x")), F.lit(0))).first()[0] // 2
-    out = (
-        _by_broadcast(d, it, dt, itype)
-        if size <= index_bound
-        else _by_shuffle(d, it, dt, itype)
-    )
+    if it.agg(F.coalesce(F.sum(_weight()), F.lit(0))).first()[0] <= index_bound:
+        out = _by_broadcast(d, it)
+    else:
+        held = cut_lineage(_hashes(it, "i", "x"))
+        many = held.groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > common)
+        phrased = cut_lineage(held.join(many, "h", "left_semi").select("i").distinct())
+        out = _by_shuffle(d, it, held.join(phrased, "i", "left_anti"))
+        for block in _blocks(it.join(phrased, "i", "left_semi"), index_bound):
+            out = out.unionByName(_by_broadcast(d, block))
     return out.groupBy("d", "i").agg(F.min(F.struct("first_word", "end_word")).alias("s")).select(
         F.col("d").alias(doc_key), F.col("i").alias(item_key), "s.first_word", "s.end_word"
     )
 
 
-def _by_broadcast(d: DataFrame, it: DataFrame, dt: str, itype: str) -> DataFrame:
+def _weight():
+    """A bound on the kept hashes of a text: a word has two characters at least with its blank, and is kept once at most."""
+    return F.floor(F.length("x") / 2)
+
+
+def _blocks(it: DataFrame, index_bound: int) -> list[DataFrame]:
+    """The items in parts that keep to the bound, or hold a single item (no part can be smaller)."""
+    n = 1
+    while True:
+        block = F.pmod(F.xxhash64("i", "x"), F.lit(n)).cast("int")
+        sizes = it.groupBy(block.alias("b")).agg(F.sum(_weight()).alias("s"), F.count_distinct("i", "x").alias("n")).collect()
+        over = [r for r in sizes if r["s"] > index_bound and r["n"] > 1]
+        if not over:
+            return [it.filter(block == r["b"]).distinct() for r in sizes]
+        n *= 2
+
+
+def _schema(d: DataFrame, it: DataFrame) -> str:
+    dt, itype = d.schema["d"].dataType.simpleString(), it.schema["i"].dataType.simpleString()
+    return f"d {dt}, i {itype}, first_word int, end_word int"
+
+
+def _by_broadcast(d: DataFrame, it: DataFrame) -> DataFrame:
     index = d.sparkSession.sparkContext.broadcast(ItemIndex([tuple(r) for r in it.collect()]))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -260,10 +300,12 @@ def _by_broadcast(d: DataFrame, it: DataFrame, dt: str, itype: str) -> DataFrame
             rows = [(k, *hit) for k, t in zip(pdf["d"], pdf["t"], strict=True) for hit in index.value.search(t, cache)]
             yield pd.DataFrame(rows, columns=["d", "i", "first_word", "end_word"])
 
-    return d.mapInPandas(run, f"d {dt}, i {itype}, first_word int, end_word int")
+    return d.mapInPandas(run, _schema(d, it))
+
 
+def _hashes(df: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, h): the distinct kept hashes of each text."""
 
-def _hashes(df: DataFrame, key: str, text: str, kind: str) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         cache: dict[str, int] = {}
         for pdf in batches:
@@ -277,11 +319,13 @@ def _hashes(df: DataFrame, key: str, text: str, kind: str) -> DataFrame:
                 hs.append(h.view(np.int64))
             yield pd.DataFrame({key: keys, "h": np.concatenate(hs) if hs else np.empty(0, np.int64)})
 
-    return df.mapInPandas(run, f"{key} {kind}, h bigint")
+    return df.mapInPandas(run, f"{key} {df.schema[key].dataType.simpleString()}, h bigint").distinct()
 
 
-def _by_shuffle(d: DataFrame, it: DataFrame, dt: str, itype: str) -> DataFrame:
-    pairs = _hashes(d, "d", "t", dt).join(_hashes(it, "i", "x", itype), "h").select("d", "i").distinct()
+def _by_shuffle(d: DataFrame, it: DataFrame, held: DataFrame) -> DataFrame:
+    salted = held.select("i", "h", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    ours = _hashes(d, "d", "t").withColumn("salt", F.pmod(F.xxhash64("d"), F.lit(SALTS)).cast("int"))
+    pairs = ours.join(salted, ["h", "salt"]).select("d", "i").distinct()
     both = pairs.join(d, "d").join(it, "i")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -293,4 +337,4 @@ def _by_shuffle(d: DataFrame, it: DataFrame, dt: str, itype: str) -> DataFrame:
                 rows += [(k, *hit) for hit in ItemIndex([(i, x)]).search(t, cache)]
             yield pd.DataFrame(rows, columns=["d", "i", "first_word", "end_word"])
 
-    return both.mapInPandas(run, f"d {dt}, i {itype}, first_word int, end_word int")
+    return both.mapInPandas(run, _schema(d, it))

@@ -97,6 +97,19 @@ def test_later_stretch_at_the_same_distance(spark):
         assert got == [(1, 1, 32, 72), (2, 1, 52, 80)]
 
 
+def test_phrases_of_many_items_and_documents(spark):
+    """Items that share a phrase are searched for in blocks, the others by a join: the same rows as from one index."""
+    phrase = " ".join(f"shared{i}" for i in range(12))
+    texts = [phrase + " " + " ".join(f"i{n}w{j}" for j in range(30)) for n in range(12)] + [" ".join(f"solo{n}x{j}" for j in range(30)) for n in range(3)]
+    docs = [(n, f"{phrase} {texts[n % 15]} end" if n % 2 else f"only {phrase} here", 0) for n in range(45)]
+    d, i = frames(spark, docs, [(n, t, 0) for n, t in enumerate(texts)] + [(3, texts[14], 0)])
+    find = lambda *a: sorted(tuple(r) for r in L.find_leaks(d, "doc_id", "text", i, "item_id", "text", *a).collect())
+    want = find()
+    assert len(want) > 20
+    for bound, common in ((400, 5), (0, 5), (0, 0), (0, 100)):
+        assert find(bound, common) == want
+
+
 def test_same_as_every_alignment_by_place():
     """Masked and intact stretches at the same distance: a leak is found exactly where the rule has one."""
     rnd = random.Random(3)
