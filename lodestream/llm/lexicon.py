@@ -37,7 +37,7 @@ mierda joder carajo coño hostia
 # Words for doing harm or wishing it.
 HARM = """
 bash beat bleed burn bury choke crush cripple dead drown eradicate exterminate hang hunt hurt kill
-lynch murder poison punch rape rot shoot slap slaughter slit slits smash throat tyres stab starve strangle swallow torture wipe break
+lynch murder poison punch rape rot shoot slap slaughter slit slits smash throat stab starve strangle swallow torture wipe break
 erschlagen erschießen krepieren schlag schlage stirb umbringen verprügeln verrecken verrecke töten
 brûler crève crèvent crever égorger frapper pendre tabasser tuer buter
 matar matarte morir muérete pegar quemar reventar golpear ahorcar

@@ -87,21 +87,23 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
 # ---- 9: abusive, hateful or sexual content ------------------------------------------------------
 
 
-def _scored(spark: SparkSession, d: str) -> DataFrame:
+def _scored(spark: SparkSession, d: str) -> tuple[DataFrame, float]:
     model = review.train(table(spark, d, "review_examples"), "example_id", "text", "label")
-    return review.score(table(spark, d, "documents"), "doc_id", "text", model, keep=("source",))
+    return review.score(table(spark, d, "documents"), "doc_id", "text", model, keep=("source",)), model.found_at
 
 
 def p9_scores(spark: SparkSession, d: str) -> DataFrame:
-    return _scored(spark, d).select("doc_id", "score", "sentence")
+    return _scored(spark, d)[0].select("doc_id", "score", "sentence")
 
 
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
-    return _scored(spark, d).filter(F.col("score") >= review.FOUND_AT).select("doc_id")
+    scored, found_at = _scored(spark, d)
+    return scored.filter(F.col("score") >= found_at).select("doc_id")
 
 
 def p9_rates(spark: SparkSession, d: str) -> DataFrame:
-    return review.rates(_scored(spark, d), "source")
+    scored, found_at = _scored(spark, d)
+    return review.rates(scored, "source", found_at)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -25,21 +25,38 @@ def test_cleaning_undoes_disguises():
 
 @pytest.mark.parametrize("text", ["You are a pathetic worthless idiot.", "Du bist ein Arschloch.", "Eres un imbécil de mierda.", "Cette femme est une salope.", "Fine day.\nI will kill you, bastard.", "you are a m***n"])
 def test_finds(model, text):
-    assert worst(model, text) >= R.FOUND_AT
+    assert worst(model, text) >= model.found_at
 
 
 @pytest.mark.parametrize("text", ["", "Sexual dysfunction was reported by 12 men.", "The compound kills tumour cells.", "This damn cough keeps me awake.", "History of sexual abuse was recorded.", "The pig insulin model worked."])
 def test_leaves_alone(model, text):
-    assert worst(model, text) < R.FOUND_AT
+    assert worst(model, text) < model.found_at
 
 
 def test_held_out_accuracy(spark, sf):
     ex = [(r["text"], r["label"]) for r in table(spark, sf, "review_examples").orderBy("example_id").collect()]
     m = R.fit(ex[::2])
-    right = [(worst(m, t) >= R.FOUND_AT) == (lab != "clean") for t, lab in ex[1::2]]
+    right = [(worst(m, t) >= m.found_at) == (lab != "clean") for t, lab in ex[1::2]]
     assert np.mean(right) > 0.93
 
 
+def test_scorer_equals_the_model(spark, sf, model):
+    texts = [r["text"] for r in table(spark, sf, "documents").limit(300).collect()] + [
+        "you i d i o t", "a b c d", "x y", "you id_iot! #1 p=0.3 HbA1c", "vous êtes nuls\u00a0! i\u200bdiot", "people from Xyria are dirt", "¨ ´", "",
+    ]
+    scorer = R.Scorer(model)
+    for t in texts:
+        for s in R.sentences(t or ""):
+            assert scorer.score(s) == pytest.approx(model.score(s), abs=1e-12), s
+
+
+def test_cross_validated_grade_lies_between(spark, sf):
+    ex = [(r["text"], r["label"]) for r in table(spark, sf, "review_examples").orderBy("example_id").collect()]
+    held = R.held_out(ex)
+    at = R.cross_validated(ex)
+    assert np.mean([(s >= at) == y for s, y in held]) > 0.99
+
+
 def test_thresholds_are_ordered_and_shared(model):
     assert all(a < b for a, b in zip(model.thetas, model.thetas[1:]))
     assert all(model.weights[c] >= 0 for c in ("insult", "sex") if c in model.weights)
@@ -49,7 +66,7 @@ def test_frame(spark, model):
     df = spark.createDataFrame([(1, None, "a", 9), (2, "", "a", 9), (3, "Nice.\nYou stupid moron!", None, 9)], "doc_id bigint, text string, source string, score int")
     got = {r["doc_id"]: r for r in R.score(df, "doc_id", "text", model, ("source",)).collect()}
     assert got[1]["score"] == got[2]["score"] == 0.0 and got[3]["score"] > 1 and got[3]["sentence"] == 1
-    rates = {r["source"]: r["found"] for r in R.rates(R.score(df, "doc_id", "text", model, ("source",)), "source").collect()}
+    rates = {r["source"]: r["found"] for r in R.rates(R.score(df, "doc_id", "text", model, ("source",)), "source", model.found_at).collect()}
     assert rates == {"a": 0, None: 1}
     assert R.score(df.limit(0), "doc_id", "text", model).count() == 0
     with pytest.raises(ValueError):
