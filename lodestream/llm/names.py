@@ -3,13 +3,16 @@
 1. Each distinct spelling is read into parts: what does not tell entities apart (legal form, department,
    title, dose, form, salt, remark) falls away; kind of institution, given name, surname or the components
    of a combination stay. What remains of each part is its *core*, without accents, blanks and case.
-2. Cores of one class are compared where they share a suffix, read from either end, of about half their
-   length: one slip of the pen leaves one half intact. A suffix more common than ``common`` is refined with
-   other fields of the core (the outer quarter, or a longer suffix: one slip leaves one of these intact) and
-   only then used; no block is dropped, so no pair one slip apart is missed.
+2. Cores of one class are compared where they share a suffix of half their length, read from either end:
+   one slip of the pen leaves one half intact, and any longer suffix in common implies this one. A suffix
+   held by more than ``common`` cores is refined with the rest of the core, once for each character left out
+   of it: cores one slip apart share one of these, and so few strings can that no block is large.
+   Nothing is discarded, so no pair one slip apart is missed.
 3. Pairs are kept by the ratio of their longest common subsequence.
-4. A core joins the best supported core it is linked to, unless it is written in several ways itself;
-   abbreviations and initials join the best supported core or given name that they begin.
+4. A core joins the best supported core it is linked to, unless it is an entity of its own: typed in several
+   ways itself, and by share of spellings and of rows nearly as common as the other. Only shares count, so
+   more of the same data links the same. Abbreviations and initials join the best supported core or given
+   name that they begin.
 5. Spellings with the same resolved parts are one class.
 
 Defined cases: null and empty names have no class; names that leave no core stand for themselves as
@@ -33,10 +36,12 @@ MIN_RATIO = 0.87
 #: Characters in which the longer of two linked cores may differ from what they share.
 MAX_SLIPS = 1
 #: Shorter cores are only equal or not.
-MIN_CORE = 6
+MIN_CORE = 4
 #: A suffix held by more cores than this is refined.
 COMMON = 40
-#: A core written in this many ways is an entity of its own, whatever it resembles.
+#: A core with more than this share of the other's spellings and of its rows is an entity of its own ...
+OWN_SHARE = 0.9
+#: ... if it is typed in this many ways at least: fewer say nothing about shares.
 OWN_SPELLINGS = 4
 
 # Legal forms of companies.
@@ -195,42 +200,44 @@ def similar(pairs: DataFrame, min_ratio: float = MIN_RATIO, max_slips: int = MAX
 
 
 def _suffix_keys(core: Column) -> Column:
-    """The half-length suffixes of a core from both ends, each with its two refinements.
+    """array of struct(key, rest): the half-length suffixes of a core from both ends and what stands before them.
 
-    array of struct(key, fine): a pair one slip apart shares one of the keys, and for that key one of
-    the refinements. Lengths follow the shorter core, so each core emits those for its own length and
-    for one less.
+    A pair one slip apart shares one of the keys, and its rests are one slip apart. Lengths follow the
+    shorter core, so each core emits those for its own length and for one less.
     """
     n = F.length(core)
 
     def keys(end: str, size: Column) -> Column:
-        half = F.floor((size - 2) / 2).cast("int")  # a swap touches two places
-        q = F.greatest(F.lit(1), F.floor((size - half - 2) / 2).cast("int"))
-        if end == "suffix":
-            key, outer, longer = F.right(core, half), F.left(core, q), F.right(core, half + q)
-        else:
-            key, outer, longer = F.left(core, half), F.right(core, q), F.left(core, half + q)
-        head = F.concat(F.lit(f"{end}:"), key)
-        return F.struct(
-            head.alias("key"),
-            F.array(
-                F.concat(head, F.lit("|outer:"), outer), F.concat(head, F.lit("|longer:"), longer)
-            ).alias("fine"),
-        )
+        half = F.greatest(F.lit(0), F.floor((size - 2) / 2).cast("int"))  # a swap touches two places
+        key = F.right(core, half) if end == "suffix" else F.left(core, half)
+        rest = F.left(core, n - half) if end == "suffix" else F.right(core, n - half)
+        return F.struct(F.concat(F.lit(f"{end}:"), key).alias("key"), rest.alias("rest"))
+
+    every = F.array(*(F.when(n - d >= MIN_CORE, keys(e, n - d)) for e in ("suffix", "prefix") for d in (0, 1)))
+    return F.array_distinct(F.array_compact(every))
+
 
-    return F.array_distinct(F.array(*(keys(e, n - d) for e in ("suffix", "prefix") for d in (0, 1))))
+def _with_one_left_out(rest: Column) -> Column:
+    """A text, and the text without each of its characters."""
+    at = F.sequence(F.lit(1), F.length(rest))
+    less = F.transform(at, lambda i: F.concat(F.substring(rest, F.lit(1), i - 1), F.substring(rest, i + 1, F.length(rest))))
+    return F.array_distinct(F.concat(F.array(rest), less))
 
 
 def candidate_pairs(forms: DataFrame, common: int = COMMON) -> DataFrame:
     """forms (cls, core) -> distinct (cls, a, b), a before b, that share a block."""
-    keyed = forms.filter(F.length("core") >= MIN_CORE).select(
-        "cls", "core", F.explode(_suffix_keys(F.col("core"))).alias("k")
-    ).select("cls", "core", "k.key", "k.fine")
+    keyed = forms.filter(F.length("core") >= MIN_CORE).select("cls", "core", F.inline(_suffix_keys(F.col("core"))))
     size = keyed.groupBy("cls", "key").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
     sized = keyed.join(size, ["cls", "key"])
-    rare = sized.filter(F.col("size") <= common).select("cls", "core", "key")
-    fine = sized.filter(F.col("size") > common).select("cls", "core", F.explode("fine").alias("key"))
-    blocks = rare.unionByName(fine)
+    blocks = sized.select(
+        "cls",
+        "core",
+        F.explode(
+            F.when(F.col("size") <= common, F.array("key")).otherwise(
+                F.transform(_with_one_left_out(F.col("rest")), lambda r: F.concat("key", F.lit("|"), r))
+            )
+        ).alias("key"),
+    )
     a, b = blocks.select("cls", "key", F.col("core").alias("a")), blocks.select("cls", "key", F.col("core").alias("b"))
     return (
         a.join(b, ["cls", "key"])
@@ -248,44 +255,54 @@ def resolve_cores(forms: DataFrame) -> DataFrame:
     """forms (cls, core, spellings, n) -> (cls, core, root).
 
     Each core points at its best supported link that is better supported than itself; support rises
-    along the pointers, so following them three times reaches the end of any chain of slips of slips.
+    along the pointers, which are followed until none leads further.
     """
     links = similar(candidate_pairs(forms))
     both = links.select("cls", F.col("a").alias("core"), F.col("b").alias("to")).unionByName(
         links.select("cls", F.col("b").alias("core"), F.col("a").alias("to"))
     )
-    own = forms.select("cls", "core", "spellings", _order().alias("mine"))
+    own = forms.select("cls", "core", _order().alias("mine"))
     target = forms.select("cls", F.col("core").alias("to"), _order().alias("theirs"))
+    mine, theirs = F.col("mine"), F.col("theirs")
+    apart = (
+        (mine["spellings"] >= OWN_SPELLINGS)
+        & (mine["spellings"] > theirs["spellings"] * OWN_SHARE)
+        & (mine["n"] > theirs["n"] * OWN_SHARE)
+    )
     parent = (
-        both.join(own.filter(F.col("spellings") < OWN_SPELLINGS), ["cls", "core"])
+        both.join(own, ["cls", "core"])
         .join(target, ["cls", "to"])
-        .filter(F.col("theirs") > F.col("mine"))
+        .filter((theirs > mine) & ~apart)
         .groupBy("cls", "core")
         .agg(F.max_by("to", "theirs").alias("root"))
     )
-    out = cut_lineage(
+    return follow_roots(
         forms.select("cls", "core").join(parent, ["cls", "core"], "left").select(
             "cls", "core", F.coalesce("root", "core").alias("root")
         )
     )
-    for _ in range(2):
+
+
+def follow_roots(pointers: DataFrame) -> DataFrame:
+    """(cls, core, root) with each root replaced by the end of its chain; the steps double each time."""
+    out = cut_lineage(pointers)
+    while True:
         nxt = out.filter("core <> root").select("cls", F.col("core").alias("root"), F.col("root").alias("further"))
-        out = out.join(nxt, ["cls", "root"], "left").select("cls", "core", F.coalesce("further", "root").alias("root"))
-    return out
+        step = cut_lineage(out.join(nxt, ["cls", "root"], "left"))
+        out = step.select("cls", "core", F.coalesce("further", "root").alias("root"))
+        if step.filter("further is not null").isEmpty():
+            return out
 
 
 def _resolve_prefixes(shorts: DataFrame, roots: DataFrame, support: DataFrame) -> DataFrame:
     """Abbreviations (cls, core) -> (cls, core, root) of the best supported full core that they begin."""
     lengths = shorts.select("cls", F.length("core").alias("size")).distinct()  # a few numbers
     full = roots.join(support, ["cls", "core"]).join(F.broadcast(lengths), "cls").filter(F.length("core") > F.col("size"))
-    heads = full.select("cls", "core", "root", "n", F.left("core", F.col("size")).alias("head"))
-    return (
-        shorts.withColumnRenamed("core", "head")
-        .join(heads, ["cls", "head"])
-        .groupBy("cls", "head")
-        .agg(F.max_by("root", F.struct("n", "core")).alias("root"))
-        .withColumnRenamed("head", "core")
-    )
+    heads = (
+        full.groupBy("cls", F.left("core", F.col("size")).alias("core"))
+        .agg(F.max_by("root", F.struct("n", F.col("core"))).alias("root"))
+    )
+    return shorts.join(heads, ["cls", "core"])
 
 
 def link_names(names: DataFrame) -> DataFrame:
@@ -314,6 +331,7 @@ def link_names(names: DataFrame) -> DataFrame:
         .join(by_prefix.withColumnRenamed("root", "r2"), ["cls", "core"], "left")
         .withColumn("root", F.when(is_short, F.coalesce("r2", "r1", "core")).otherwise(F.coalesce("r1", "core")))
     )
+    resolved = cut_lineage(resolved)  # read twice below
     # initials: the best supported full given name of the same surname that they begin
     people = resolved.filter("cls = 'person'")
     givens = (

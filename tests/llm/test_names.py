@@ -81,3 +81,38 @@ def test_blocks_miss_no_single_slip(spark, common):
     want = {(a, b) for a in cores for b in cores if a < b and min(len(a), len(b)) >= N.MIN_CORE and one_slip(a, b)}
     assert len(want) > 60 and want - got == set()
     assert all(max(len(a), len(b)) - lcs(a, b) <= N.MAX_SLIPS for a, b in got)
+
+
+@pytest.mark.parametrize("times", [1, 30])
+def test_links_do_not_depend_on_the_amount_of_data(spark, times):
+    """Every name repeated, and respelled by blanks, case and signs, many times: the same classes of cores."""
+    base = {"Zorvantex Ltd": 5, "Zorvantx Ltd": 1, "Zorvvantex Ltd": 2, "Bayer AG": 3, "Bayr AG": 1, "Mirolatinib Corp": 4, "Tovarelix Corp": 4}
+    data = [f"{n}{' ' * j}{'.' * k}" for n, c in base.items() for k in range(c) for j in range(times)] * 2
+    df = spark.createDataFrame([("sponsor", n) for n in data], "kind string, name string")
+    cores = {}
+    for r in N.link_names(df).collect():
+        cores.setdefault(r["entity"], set()).add(r["name"].split()[0])
+    assert sorted(map(sorted, cores.values())) == [["Bayer", "Bayr"], ["Mirolatinib"], ["Tovarelix"], ["Zorvantex", "Zorvantx", "Zorvvantex"]]
+
+
+def test_equally_common_neighbours_stay_apart(spark):
+    data = [f"{n}{' ' * k}" for n in ("Cardivon", "Cardovon") for k in range(6)]
+    df = spark.createDataFrame([("drug", n) for n in data], "kind string, name string")
+    assert len({r["entity"] for r in N.link_names(df).collect()}) == 2
+
+
+def test_long_chains_of_slips_end_at_one_root(spark):
+    word, chain = "abcdefghijklmnopqrst", []
+    for i in range(9):
+        chain.append("x" * i + word[i:])
+    df = spark.createDataFrame([("d", c, 1, i + 1) for i, c in enumerate(chain)], "cls string, core string, spellings bigint, n bigint")
+    assert {r["root"] for r in N.resolve_cores(df).collect()} == {chain[-1]}
+
+
+def test_refined_blocks_are_small(spark):
+    """Cores with one suffix in common: no block holds more than can be one character apart."""
+    rnd = random.Random(4)
+    cores = {"".join(rnd.choice("abcdef") for _ in range(6)) + "mastatin" for _ in range(2000)}
+    df = spark.createDataFrame([("d", c) for c in cores], "cls string, core string")
+    n = N.candidate_pairs(df).count()
+    assert n < len(cores) * 60
