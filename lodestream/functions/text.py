@@ -5,19 +5,18 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Spellings of trial phases and the code of each.
+#: Spellings of trial phases, upper case without blanks, hyphens and underscores, and the code of each.
 PHASES = {
-    "phase 1": "PHASE1", "phase1": "PHASE1", "phase i": "PHASE1", "1": "PHASE1", "i": "PHASE1",
-    "phase 2": "PHASE2", "phase2": "PHASE2", "phase ii": "PHASE2", "2": "PHASE2", "ii": "PHASE2",
-    "phase 3": "PHASE3", "phase3": "PHASE3", "phase iii": "PHASE3", "3": "PHASE3", "iii": "PHASE3",
-    "phase 4": "PHASE4", "phase4": "PHASE4", "phase iv": "PHASE4", "4": "PHASE4", "iv": "PHASE4",
-    "early phase 1": "EARLY_PHASE1", "early_phase1": "EARLY_PHASE1", "phase 0": "EARLY_PHASE1",
+    "PHASE1": "PHASE1", "PHASEI": "PHASE1", "P1": "PHASE1", "1": "PHASE1",
+    "PHASE2": "PHASE2", "PHASEII": "PHASE2", "P2": "PHASE2", "2": "PHASE2",
+    "PHASE3": "PHASE3", "PHASEIII": "PHASE3", "P3": "PHASE3", "3": "PHASE3",
+    "PHASE4": "PHASE4", "PHASEIV": "PHASE4", "P4": "PHASE4", "4": "PHASE4",
+    "EARLYP1": "EARLY_PHASE1", "EARLYPHASE1": "EARLY_PHASE1",
 }
 #: Spellings of study types.
 STUDY_TYPES = {
-    "interventional": "INTERVENTIONAL", "intervention": "INTERVENTIONAL", "clinical trial": "INTERVENTIONAL",
-    "observational": "OBSERVATIONAL", "observation": "OBSERVATIONAL", "expanded access": "EXPANDED_ACCESS",
-    "expanded_access": "EXPANDED_ACCESS",
+    "INTERVENTIONAL": "INTERVENTIONAL", "INT": "INTERVENTIONAL", "OBSERVATIONAL": "OBSERVATIONAL", "OBS": "OBSERVATIONAL",
+    "EXPANDED_ACCESS": "EXPANDED_ACCESS",
 }
 
 
@@ -27,18 +26,19 @@ def _lookup(values: dict[str, str], key: Column) -> Column:
 
 
 def phase_code(c: Column) -> Column:
-    """A known spelling's code; another spelling in upper case; null stays null."""
-    return F.coalesce(_lookup(PHASES, F.lower(F.trim(c))), F.upper(F.trim(c)))
+    """A known spelling's code, read without case, blanks, hyphens and underscores; another spelling in upper case; null stays null."""
+    return F.coalesce(_lookup(PHASES, F.translate(F.upper(c), " -_", "")), F.upper(c))
 
 
 def study_type_code(c: Column) -> Column:
-    return F.coalesce(_lookup(STUDY_TYPES, F.lower(F.trim(c))), F.upper(F.trim(c)))
+    t = F.upper(F.trim(c))
+    return F.coalesce(_lookup(STUDY_TYPES, t), t)
 
 
 def sentences(c: Column, least: int = 10) -> Column:
     """Sentences of at least ``least`` characters; cut after . ! ? and blanks, and at line ends."""
     parts = F.split(F.trim(c), r"(?<=[.!?])\s+|\n+")
-    return F.filter(F.transform(parts, F.trim), lambda s: F.length(s) >= least)
+    return F.filter(F.transform(parts, lambda x: F.trim(x)), lambda s: F.length(s) >= least)
 
 
 def occurrences(text: Column, part: Column) -> Column:
@@ -90,5 +90,5 @@ def truncated(c: Column, limit: int = 200) -> Column:
 
 def listed(c: Column, sep: str = "|") -> Column:
     """Parts of a joined text, trimmed, without blanks; null gives an empty list."""
-    parts = F.transform(F.split(F.coalesce(c, F.lit("")), F.lit(f"[{sep}]")), F.trim)
+    parts = F.transform(F.split(F.coalesce(c, F.lit("")), F.lit(f"[{sep}]")), lambda x: F.trim(x))
     return F.filter(parts, lambda x: x != "")

@@ -6,6 +6,7 @@ reports of this domain expect; single-class input has ROC-AUC 0. Ties in scores
 
 from __future__ import annotations
 
+import math
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -61,17 +62,38 @@ def running_sums(df: DataFrame, by: str, sums: list[str], falling: bool = False)
     """
     key = F.desc(by) if falling else F.asc(by)
     parts = cut_lineage(df.repartitionByRange(key).withColumn("__part", F.spark_partition_id()))
-    totals = parts.groupBy("__part").agg(*(F.sum(c).alias(c) for c in sums)).orderBy("__part").collect()
+    before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)  # a row per partition
+    totals = parts.groupBy("__part").agg(*(F.sum(c).alias(c) for c in sums))
+    offsets = totals.select("__part", *(F.coalesce(F.sum(c).over(before), F.lit(0)).cast("double").alias(f"__from_{c}") for c in sums))
     w = Window.partitionBy("__part").orderBy(key).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    out = parts
-    for c in sums:
-        offset, pairs = 0, []
-        for t in totals:
-            pairs += [F.lit(t["__part"]), F.lit(offset).cast("double")]
-            offset += t[c]
-        start = F.element_at(F.create_map(*pairs), F.col("__part")) if pairs else F.lit(0.0)
-        out = out.withColumn(f"run_{c}", F.sum(c).over(w) + start)
-    return out.drop("__part")
+    out = parts.join(F.broadcast(offsets), "__part")
+    return out.withColumns({f"run_{c}": F.sum(c).over(w) + F.col(f"__from_{c}") for c in sums}).drop("__part", *(f"__from_{c}" for c in sums))
+
+
+#: Distinct values from which a percentile is taken from running counts in place of one task.
+PERCENTILE_BOUND = 1_000_000
+
+
+def percentiles(df: DataFrame, shares: dict[str, float], bound: int = PERCENTILE_BOUND) -> dict[str, float | None]:
+    """{column: exact percentile, linear between neighbours} of numeric columns; nulls do not count, no value gives None.
+
+    One pass tells how many distinct values each column has. Up to the bound they fit one task; beyond it the
+    values are counted, range-partitioned and numbered by running sums, and only the two neighbours are fetched.
+    """
+    cols = {c: F.col(c).cast("double") for c in shares}
+    sizes = df.agg(*(F.approx_count_distinct(x).alias(c) for c, x in cols.items())).first().asDict()
+    few = [c for c in shares if sizes[c] <= bound]
+    out = df.agg(*(F.percentile(cols[c], shares[c]).alias(c) for c in few)).first().asDict() if few else {}
+    for c in shares:
+        if c in out:
+            continue
+        per = df.select(cols[c].alias("x")).filter("x is not null").groupBy("x").agg(F.count(F.lit(1)).alias("n"))
+        run = cut_lineage(running_sums(per, "x", ["n"]))
+        at = (run.agg(F.max("run_n")).first()[0] - 1) * shares[c]
+        low, high = math.floor(at), math.ceil(at)
+        a, b = run.agg(F.min(F.when(F.col("run_n") > low, F.col("x"))), F.min(F.when(F.col("run_n") > high, F.col("x")))).first()
+        out[c] = a + (b - a) * (at - low)
+    return out
 
 
 def _score_steps(scored: DataFrame) -> DataFrame:
@@ -122,11 +144,36 @@ def ranking_metrics(judged: DataFrame, relevant: DataFrame, k: int) -> DataFrame
     return q.agg(F.round(F.avg("rr"), 6).alias("mrr"), F.round(F.avg("recall"), 6).alias(f"recall_{k}"), F.round(F.avg("ndcg"), 6).alias(f"ndcg_{k}"))
 
 
+def _cells(df: DataFrame, width: int, name: str) -> DataFrame:
+    """Every row once for each cell of the line that its span touches."""
+    first, last = F.floor(F.col(f"{name}.start") / width), F.floor((F.col(f"{name}.end") - 1) / width)
+    return df.withColumn("cell", F.explode(F.sequence(first, F.greatest(first, last))))
+
+
 def overlapping(gold: DataFrame, pred: DataFrame) -> DataFrame:
-    """Spans (doc_id, start, end, ...) of both sides that overlap in the same document; an equi-join with a range test."""
+    """Spans (doc_id, start, end, ...) of both sides that overlap in the same document.
+
+    The line of a document is cut into cells as wide as the mean span, so spans meet by document and cell, and
+    a long document is no hot key; all spans together touch at most twice as many cells as there are spans. A
+    pair comes out in the cell where its overlap begins.
+    """
     g = gold.select("doc_id", F.struct("start", "end", "label", "id").alias("g"))
     p = pred.select("doc_id", F.struct("start", "end", "label", "id", "score").alias("p"))
-    return g.join(p, "doc_id").filter(F.greatest("g.start", "p.start") < F.least("g.end", "p.end"))
+    both = gold.select("start", "end").unionByName(pred.select("start", "end")).filter(F.col("end") > F.col("start"))
+    width = max(1, math.ceil(both.agg(F.avg(F.col("end") - F.col("start"))).first()[0] or 1))
+    g = _cells(g.filter("g.end > g.start"), width, "g")
+    p = _cells(p.filter("p.end > p.start"), width, "p")
+    begin = F.greatest("g.start", "p.start")
+    j = g.join(p, ["doc_id", "cell"]).filter((begin < F.least("g.end", "p.end")) & (F.floor(begin / width) == F.col("cell")))
+    return j.drop("cell")
+
+
+def _chains(spans: DataFrame) -> DataFrame:
+    """spans (doc_id, start, end, ...) with ``chain``: spans of different chains of a document do not overlap, even through others."""
+    w = Window.partitionBy("doc_id").orderBy("start", F.desc("end"))
+    reach = F.max("end").over(w.rowsBetween(Window.unboundedPreceding, -1))
+    new = F.when(F.coalesce(F.col("start") >= reach, F.lit(True)), 1).otherwise(0)
+    return spans.withColumn("__new", new).withColumn("chain", F.sum("__new").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("__new")
 
 
 def _label_fits(accepted: dict[str, list[str]] | None) -> Column:
@@ -146,26 +193,28 @@ def greedy_matches(
     which needs a column text on both sides). Scores that are null or not positive count as 1e-9; among
     equals the first span wins. accepted: the predicted labels that do for a gold label, in place of its own.
 
-    The order makes it sequential within a document, so each document is resolved by itself; only
-    fitting pairs reach that step.
+    The order makes it sequential among spans that compete for the same predictions, so what is resolved by
+    itself is a chain of overlapping spans, or all of one place or text; only fitting pairs reach that step.
     """
     if strategy not in ("strict", "relaxed", "text_only"):
         raise ValueError(f"unknown strategy: {strategy}")
     g = gold.select("doc_id", F.struct("*").alias("g"))
     p = pred.select("doc_id", F.struct("*").alias("p"))
     if strategy == "relaxed":
-        pairs = overlapping(gold, pred)
+        ends = gold.select("doc_id", "start", "end").unionByName(pred.select("doc_id", "start", "end")).distinct()
+        chains = _chains(ends.filter("end > start")).select("doc_id", F.col("start").alias("__s"), F.col("end").alias("__e"), F.col("chain").cast("string").alias("group"))
+        pairs = overlapping(gold, pred).withColumns({"__s": F.col("g.start"), "__e": F.col("g.end")}).join(chains, ["doc_id", "__s", "__e"])
     elif strategy == "strict":
         keys = lambda c: [F.col(f"{c}.start").alias("start"), F.col(f"{c}.end").alias("end")]
-        pairs = g.select("*", *keys("g")).join(p.select("*", *keys("p")), ["doc_id", "start", "end"])
+        pairs = g.select("*", *keys("g")).join(p.select("*", *keys("p")), ["doc_id", "start", "end"]).withColumn("group", F.concat_ws("-", "start", "end"))
     else:
         low = lambda c: F.lower(f"{c}.text").alias("low")
-        pairs = g.select("*", low("g")).join(p.select("*", low("p")), ["doc_id", "low"])
+        pairs = g.select("*", low("g")).join(p.select("*", low("p")), ["doc_id", "low"]).withColumn("group", F.col("low"))
     if same_label:
         pairs = pairs.filter(_label_fits(accepted))
     kind = gold.schema["doc_id"].dataType.simpleString()
     flat = pairs.select(
-        "doc_id", F.col("g.start").alias("gs"), F.col("g.end").alias("ge"), F.col("g.id").alias("gid"), F.col("p.id").alias("pid"),
+        "doc_id", "group", F.col("g.start").alias("gs"), F.col("g.end").alias("ge"), F.col("g.id").alias("gid"), F.col("p.id").alias("pid"),
         F.greatest(F.col("p.score"), F.lit(1e-9)).alias("score"), F.col("p.start").alias("ps"), F.col("p.end").alias("pe"),
     )
 
@@ -178,7 +227,7 @@ def greedy_matches(
                 rows.append((r.doc_id, r.gid, r.pid))
         return pd.DataFrame(rows, columns=["doc_id", "gold_id", "pred_id"])
 
-    return flat.groupBy("doc_id").applyInPandas(resolve, f"doc_id {kind}, gold_id bigint, pred_id bigint")
+    return flat.groupBy("doc_id", "group").applyInPandas(resolve, f"doc_id {kind}, gold_id bigint, pred_id bigint")
 
 
 def matched_labels(gold: DataFrame, pred: DataFrame, strategy: str, accepted: dict[str, list[str]] | None = None) -> DataFrame:
@@ -293,8 +342,6 @@ def ks_statistic(a: DataFrame, b: DataFrame) -> DataFrame:
 
 def ks_p_value(d: float, n: int, m: int) -> float:
     """Two-sided p-value by the asymptotic series."""
-    import math
-
     if not n or not m:
         return 1.0
     en = math.sqrt(n * m / (n + m))
@@ -306,16 +353,18 @@ def ks_p_value(d: float, n: int, m: int) -> float:
 
 
 def without_overlaps(spans: DataFrame) -> DataFrame:
-    """Per document the spans kept when, by start and falling length, each must begin after the last kept one ends."""
+    """Per document the spans kept when, by start and falling length, each must begin after the last kept one ends.
+
+    Spans that overlap, directly or through others, are resolved together; a document is a series of such chains.
+    """
+    chains = _chains(spans.select("doc_id", "start", "end", "id").filter("start is not null and end is not null"))
     items = F.array_sort(F.collect_list(F.struct("start", (-F.col("end")).alias("minus_end"), "id")))
     kept = F.aggregate(
         items,
-        F.struct(F.lit(-1).cast("bigint").alias("at"), F.array().cast("array<bigint>").alias("ids")),
+        F.struct(F.lit(-(2**62)).alias("at"), F.array().cast("array<bigint>").alias("ids")),
         lambda acc, x: F.when(
             x["start"] >= acc["at"], F.struct((-x["minus_end"]).alias("at"), F.array_append(acc["ids"], x["id"]).alias("ids"))
         ).otherwise(acc),
         lambda acc: acc["ids"],
     )
-    return spans.groupBy("doc_id").agg(kept.alias("ids")).select("doc_id", F.explode("ids").alias("id"))
-
-
+    return chains.groupBy("doc_id", "chain").agg(kept.alias("ids")).select("doc_id", F.explode("ids").alias("id"))

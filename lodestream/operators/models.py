@@ -7,29 +7,47 @@ fails to fit is skipped and reported. The store is a folder per version and a re
 from __future__ import annotations
 
 import json
+import math
+import time
+from collections.abc import Callable
+from itertools import combinations
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import Imputer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Trees, depth and step of boosted trees: small for trials, full for training with rows to stop by.
+SIZES = {"small": (20, 4, 0.1), "full": (300, 6, 0.1)}
+
+
+def _gbt(size: str = "small", validation: str | None = None) -> GBTClassifier:
+    """Boosted trees; with a boolean validation column, growing stops once its rows gain no more."""
+    trees, depth, step = SIZES[size]
+    m = GBTClassifier(labelCol="label", featuresCol="vec", maxIter=trees, maxDepth=depth, stepSize=step, seed=42)
+    return m.setValidationIndicatorCol(validation) if validation else m
+
+
 #: Classifiers by name; callers may register their own factories.
 CLASSIFIERS = {
-    "gbt": lambda: GBTClassifier(labelCol="label", featuresCol="vec", maxIter=20, maxDepth=4, stepSize=0.1, seed=42),
+    "gbt": _gbt,
     "logistic": lambda: LogisticRegression(labelCol="label", featuresCol="vec", regParam=0.01),
     "forest": lambda: RandomForestClassifier(labelCol="label", featuresCol="vec", numTrees=20, maxDepth=5, seed=42),
 }
+#: Features of which all subsets are scored for contributions per row.
+MAX_FEATURES = 12
+STAGES = ("production", "staging", "none")
 
 
-def pipeline(name: str, cols: list[str]) -> Pipeline:
+def pipeline(name: str, cols: list[str], **options) -> Pipeline:
     filled = [f"{c}__f" for c in cols]
     return Pipeline(
         stages=[
             Imputer(strategy="median", inputCols=cols, outputCols=filled),
             VectorAssembler(inputCols=filled, outputCol="vec", handleInvalid="keep"),
-            CLASSIFIERS[name](),
+            CLASSIFIERS[name](**options),
         ]
     )
 
@@ -38,13 +56,13 @@ def as_doubles(df: DataFrame, cols: list[str]) -> DataFrame:
     return df.withColumns({c: F.col(c).cast("double") for c in cols})
 
 
-def train_all(train: DataFrame, cols: list[str], names: list[str]) -> tuple[dict[str, PipelineModel], dict[str, str]]:
+def train_all(train: DataFrame, cols: list[str], names: list[str], options: dict[str, dict] | None = None) -> tuple[dict[str, PipelineModel], dict[str, str]]:
     """(models, failures) of the named classifiers on columns ``cols`` and label 0/1."""
     data = as_doubles(train.filter("label is not null"), [*cols, "label"])
     models, failures = {}, {}
     for n in names:
         try:
-            models[n] = pipeline(n, cols).fit(data)
+            models[n] = pipeline(n, cols, **(options or {}).get(n, {})).fit(data)
         except Exception as e:  # noqa: BLE001 - one bad model must not stop the others
             failures[n] = str(e)[:200]
     return models, failures
@@ -65,24 +83,157 @@ def importance(model: PipelineModel, cols: list[str], spark: SparkSession) -> Da
     return spark.createDataFrame(rows, "feature string, importance double").orderBy(F.desc("importance"), "feature")
 
 
+def contributions(rows: DataFrame, key: str, cols: list[str], score: Callable[[DataFrame], DataFrame], baseline: dict[str, float], pairs: bool = False) -> DataFrame:
+    """(key, base, a column per feature): exact Shapley values of each row's score against a baseline.
+
+    score adds ``p`` to rows of (key, features). Every subset of the features is scored with the others at
+    their baseline, so there are 2^n rows per row, and n is at most MAX_FEATURES; those of a row lie in one task and
+    are summed up there. The features and base add up to the row's score. With pairs, columns a*b hold the
+    interaction index of each pair. Keys are unique; a null feature counts as its baseline.
+    """
+    n = len(cols)
+    if not 0 < n <= MAX_FEATURES:
+        raise ValueError(f"between 1 and {MAX_FEATURES} features")
+    f = math.factorial
+    single = F.array(*[F.lit(f(s) * f(n - s - 1) / f(n)) for s in range(n)])
+    double = F.array(*[F.lit(f(s) * f(n - s - 2) / f(n - 1)) for s in range(n - 1)]) if n > 1 else None
+    mask = F.col("__mask")
+    inside = {c: F.getbit(mask, F.lit(i)) == 1 for i, c in enumerate(cols)}
+    spread = rows.select(key, *(F.col(c).cast("double").alias(c) for c in cols), F.explode(F.sequence(F.lit(0), F.lit(2**n - 1))).alias("__mask"))
+    masked = spread.select(key, "__mask", *(F.when(inside[c], F.coalesce(F.col(c), F.lit(float(baseline[c])))).otherwise(F.lit(float(baseline[c]))).alias(c) for c in cols))
+    size = F.bit_count(mask)
+
+    def own(c: str) -> Column:
+        return F.when(inside[c], F.get(single, size - 1)).otherwise(-F.get(single, size))
+
+    def both(a: str, b: str) -> Column:
+        others = size - inside[a].cast("int") - inside[b].cast("int")
+        return F.when(inside[a] == inside[b], F.get(double, others)).otherwise(-F.get(double, others))
+
+    sums = [F.sum(F.col("p") * own(c)).alias(c) for c in cols]
+    if pairs:
+        sums += [F.sum(F.col("p") * both(a, b)).alias(f"{a}*{b}") for a, b in combinations(cols, 2)]
+    return score(masked).groupBy(key).agg(F.sum(F.when(mask == 0, F.col("p"))).alias("base"), *sums)
+
+
+def effects_text(contributed: DataFrame, key: str, cols: list[str], k: int = 3) -> DataFrame:
+    """(key, effects): the k largest contributions of a row by size, with their sign, ties by name."""
+    each = F.array(*(F.struct((-F.abs(c)).alias("o"), F.lit(c).alias("name"), F.col(c).alias("v")) for c in cols))
+    said = F.transform(F.slice(F.array_sort(each), 1, k), lambda x: F.format_string("%s %+.4f", x["name"], x["v"]))
+    return contributed.select(key, F.array_join(said, "; ").alias("effects"))
+
+
+def explained(model: PipelineModel, rows: DataFrame, key: str, cols: list[str], k: int = 3) -> DataFrame:
+    """(key, probability, predicted, effects) of each row: prediction with its largest contributions against the column means."""
+    means = rows.agg(*(F.coalesce(F.avg(F.col(c).cast("double")), F.lit(0.0)).alias(c) for c in cols)).first().asDict()
+
+    def score(df: DataFrame) -> DataFrame:
+        return model.transform(df).withColumn("p", F.get(vector_to_array("probability"), F.lit(1)))
+
+    why = effects_text(contributions(rows, key, cols, score, means), key, cols, k)
+    return predict(model, rows, cols, [key]).join(why, key)
+
+
 def objectives(auc: float, n_features: int, most: int = 50) -> tuple[float, float]:
     """(accuracy, parsimony), both between 0 and 1."""
     clip = lambda v: max(0.0, min(1.0, v))
     return clip(auc), 1.0 if n_features <= 0 else clip(1 - n_features / most)
 
 
+_REGISTRY = "name string, version string, stage string, metrics string, at bigint"
+
+
+def _log(store: str, rows: list[tuple]) -> None:
+    SparkSession.active().createDataFrame(rows, _REGISTRY).coalesce(1).write.mode("append").parquet(f"{store}/registry")
+
+
 def save_version(model: PipelineModel, store: str, name: str, version: str, metrics: dict[str, float]) -> None:
     """Writes the model first and its registry row after it, so a row never points at half a model."""
-    spark = SparkSession.active()
     model.write().overwrite().save(f"{store}/models/{name}/{version}")
-    row = [(name, version, "none", json.dumps(metrics, sort_keys=True))]
-    spark.createDataFrame(row, "name string, version string, stage string, metrics string").write.mode("append").parquet(f"{store}/registry")
+    _log(store, [(name, version, "none", json.dumps(metrics, sort_keys=True), time.time_ns())])
+
+
+def current_stages(log: DataFrame) -> DataFrame:
+    """(name, version, stage) from a log (name, version, stage, at): the stage last asked for, unless another version took it later.
 
+    A stage but "none" has one holder per name: the version that asked last.
+    """
+    last = log.groupBy("name", "version").agg(F.max_by("stage", "at").alias("stage"), F.max("at").alias("at"))
+    taken = log.filter("stage <> 'none'").groupBy("name", "stage").agg(F.max_by("version", "at").alias("holder"))
+    j = last.join(taken, ["name", "stage"], "left")
+    kept = (F.col("stage") != "none") & (F.col("holder") == F.col("version"))
+    return j.select("name", "version", F.when(kept, F.col("stage")).otherwise("none").alias("stage"))
 
-def latest_version(store: str, name: str) -> str | None:
+
+def promote(store: str, name: str, version: str, stage: str = "production") -> None:
+    """Gives a version a stage; a version that held it before has none from then on."""
+    if stage not in STAGES:
+        raise ValueError(f"stage is one of {', '.join(STAGES)}")
     spark = SparkSession.active()
-    return spark.read.parquet(f"{store}/registry").filter(F.col("name") == name).agg(F.max("version")).first()[0]
+    known = spark.read.schema(_REGISTRY).parquet(f"{store}/registry").filter((F.col("name") == name) & (F.col("version") == version))
+    if known.isEmpty():
+        raise ValueError(f"no version {version} of {name}")
+    _log(store, [(name, version, stage, None, time.time_ns())])
+
+
+def versions(store: str, name: str | None = None) -> DataFrame:
+    """(name, version, stage, metrics) of the registry."""
+    log = SparkSession.active().read.schema(_REGISTRY).parquet(f"{store}/registry")
+    log = log.filter(F.col("name") == name) if name else log
+    metrics = log.filter("metrics is not null").groupBy("name", "version").agg(F.max_by("metrics", "at").alias("metrics"))
+    return current_stages(log).join(metrics, ["name", "version"], "left")
+
+
+def latest_version(store: str, name: str, stage: str | None = None) -> str | None:
+    """The last version by name, of those at a stage if one is given."""
+    v = versions(store, name)
+    return (v.filter(F.col("stage") == stage) if stage else v).agg(F.max("version")).first()[0]
 
 
 def load_version(store: str, name: str, version: str | None = None) -> PipelineModel:
     return PipelineModel.load(f"{store}/models/{name}/{version or latest_version(store, name)}")
+
+
+def _there(path: str) -> bool:
+    sc = SparkSession.active().sparkContext
+    at = sc._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(sc._jsc.hadoopConfiguration()).exists(at)
+
+
+def resolve_model(store: str, name: str, phase: int | None = None) -> str | None:
+    """Path of the model to serve: that of the phase, else the version in production, else the latest, else a file of its name."""
+    if phase is not None and _there(f"{store}/phases/{phase}/{name}"):
+        return f"{store}/phases/{phase}/{name}"
+    if _there(f"{store}/registry"):
+        v = latest_version(store, name, "production") or latest_version(store, name)
+        if v and _there(f"{store}/models/{name}/{v}"):
+            return f"{store}/models/{name}/{v}"
+    return f"{store}/files/{name}" if _there(f"{store}/files/{name}") else None
+
+
+def retrain(
+    train: DataFrame, valid: DataFrame, cols: list[str], name: str, store: str, version: str, rollouts: int = 10, stage: str | None = "staging"
+) -> tuple[list[str], list[float]]:
+    """(features, objectives): searches over features to leave out, refits the best set on all rows and saves it.
+
+    Each set is scored by the area under the curve on ``valid`` and by its size; the saved model holds the stage.
+    """
+    from lodestream.operators.evaluation import curve_metrics
+    from lodestream.operators.search import tree_search
+
+    def evaluate(left_out: tuple[str, ...]) -> tuple[list[float], list[str]]:
+        kept = [c for c in cols if c not in left_out]
+        models, failures = train_all(train, kept, [name])
+        if failures:
+            return [0.0, 0.0], []
+        scored = predict(models[name], valid, kept, ["label"]).select("label", F.col("probability").alias("score"))
+        auc = curve_metrics(scored).first()["roc_auc"]
+        return list(objectives(auc, len(kept))), [c for c in kept if len(kept) > 1]
+
+    best = tree_search((), evaluate, rollouts)
+    kept = [c for c in cols if c not in best.features]
+    model = pipeline(name, kept).fit(as_doubles(train.unionByName(valid).filter("label is not null"), [*kept, "label"]))
+    save_version(model, store, name, version, {"roc_auc": best.own[0], "features": len(kept)})
+    if stage:
+        promote(store, name, version, stage)
+    return kept, best.own

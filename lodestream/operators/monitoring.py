@@ -9,18 +9,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestream.operators.evaluation import ks_p_value, ks_statistic
+from lodestream.operators.evaluation import ks_p_value, ks_statistic, percentiles
 
 LEAST_ROWS, LEAST_HALF, P_VALUE, MISSING, LATENCY = 10, 5, 0.05, 0.10, 1.5
 
 
 def metrics(log: DataFrame) -> DataFrame:
     """One row: count, mean probability and latency, linear p99 of latency, distinct entities."""
+    p99 = percentiles(log, {"latency": 0.99})["latency"]
     return log.agg(
         F.count(F.lit(1)).alias("n"),
         F.round(F.avg("probability"), 6).alias("mean_probability"),
         F.round(F.avg("latency"), 6).alias("mean_latency"),
-        F.round(F.percentile("latency", 0.99), 6).alias("p99_latency"),
+        F.round(F.lit(p99).cast("double"), 6).alias("p99_latency"),
         F.count_distinct("entity").alias("entities"),
     )
 
@@ -35,7 +36,7 @@ def daily_counts(log: DataFrame) -> DataFrame:
 
 def halves(log: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The rows up to the median time and those after it."""
-    mid = log.agg(F.percentile(F.unix_micros("ts"), 0.5)).first()[0]
+    mid = percentiles(log.select(F.unix_micros("ts").alias("t")), {"t": 0.5})["t"]
     early = F.unix_micros("ts") <= F.lit(mid)
     return log.filter(early), log.filter(~early)
 

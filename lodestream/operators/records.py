@@ -5,6 +5,8 @@ Nulls: a missing module, field or list gives null (or an empty list where a docs
 
 from __future__ import annotations
 
+import hashlib
+import json
 from concurrent.futures import ThreadPoolExecutor
 from collections.abc import Callable
 
@@ -142,6 +144,18 @@ def ucb_columns(df: DataFrame, total: str, visits: str, parent_visits: Column, c
     return mean + c * F.sqrt(F.try_divide(F.log(F.greatest(parent_visits, F.lit(1)).cast("double")), F.col(visits)))
 
 
+def memo_key(tag: str, arguments: dict) -> str:
+    """A key of a function's tag and its arguments, whatever their order: tag/hash, so results lie together by tag."""
+    text = json.dumps(arguments, sort_keys=True, default=str)
+    return f"{tag}/{hashlib.sha256(text.encode()).hexdigest()[:16]}"
+
+
+def forget(spark: SparkSession, tag: str, folder: str | None = None) -> None:
+    """Removes all results stored under a tag."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{folder or checkpoint_dir(spark)}/memo/{tag}")
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def memoised(spark: SparkSession, key: str, compute: Callable[[], DataFrame], folder: str | None = None) -> DataFrame:
     """The table stored under a key, computed and written first if it is not there yet."""
     path = f"{folder or checkpoint_dir(spark)}/memo/{key}"

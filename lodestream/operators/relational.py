@@ -98,20 +98,25 @@ def before(df: DataFrame, day: Column, cutoff: str) -> DataFrame:
     return df.filter(day.isNotNull() & (day < F.lit(cutoff).cast("date")))
 
 
-#: Column names that give away a trial's outcome, without separators, lower case.
+#: Parts of column names that give away a trial's outcome, lower case without separators.
 LEAKING = """
-overallstatus completiondate primarycompletiondate whystopped resultsposted resultsfirst hasresults wereresultsreported
-adverseevents seriousevents outcomemeasure resultssection actualduration actualenrollment lastupdate dispfirst
-resultsfirstposted resultsfirstsubmitted statusverified terminat withdraw enrollmentactual label outcome
-participantflow baselinecharacteristics
+overallstatus laststatus lastknownstatus whystopped
+resultssection resultsposted resultsposteddate resultsfirstposted resultsfirstsubmitted
+completiondate primarycompletiondate studycompletiondate dispositionmodule statusverifieddate
 """.split()
 
 
 def is_leaking(name: str) -> bool:
-    flat = "".join(ch for ch in name.lower() if ch not in "-_")
+    """Whether a column name contains one of the parts; case, hyphens and underscores do not matter."""
+    flat = name.lower().replace("-", "").replace("_", "")
     return any(p in flat for p in LEAKING)
 
 
+def leaking_name(c: Column) -> Column:
+    """``is_leaking`` for names that are data."""
+    return F.translate(F.lower(c), "-_", "").rlike("|".join(LEAKING))
+
+
 def without_leaking(df: DataFrame) -> DataFrame:
     """Drops columns whose name gives away an outcome; decided at plan time."""
     return df.drop(*(c for c in df.columns if is_leaking(c)))

@@ -161,13 +161,13 @@ def upsert_counts(spark: SparkSession, d: str) -> DataFrame:
     return R.upsert_counts(old, new, "nct_id")
 
 
-@query("""select distinct lower(trim(pref_name)) as name from molecules where pref_name is not null
-and lower(trim(pref_name)) not in (select lower(trim(drug_name)) from faers where drug_name is not null)""")
+@query("""select distinct lower(trim(drug_name)) as name from faers where drug_name is not null
+and lower(trim(drug_name)) not in (select lower(trim(intervention_name)) from aact_studies where intervention_name is not null)""")
 def names_not_cached(spark: SparkSession, d: str) -> DataFrame:
     """JN-06, STM-03: names to fetch, less those that are there already."""
     name = lambda c: F.lower(F.trim(F.col(c))).alias("name")
-    want = table(spark, d, "molecules").filter("pref_name is not null").select(name("pref_name")).distinct()
-    have = table(spark, d, "faers").filter("drug_name is not null").select(name("drug_name"))
+    want = table(spark, d, "faers").filter("drug_name is not null").select(name("drug_name")).distinct()
+    have = table(spark, d, "aact_studies").filter("intervention_name is not null").select(name("intervention_name"))
     return R.not_cached(want, have, ["name"])
 
 
@@ -200,10 +200,10 @@ def molecules_by_mechanism(spark: SparkSession, d: str) -> DataFrame:
     return R.containing(m, "mechanism_of_action", "Inhibitor").select("chembl_id", "pref_name")
 
 
-@query("select p_partkey, p_name from part where regexp_matches(lower(p_name), '[0-9]7$')")
+@query("select p_partkey, p_name from part where regexp_matches(lower(p_name), '^[a-m].*[a-z]{4,}$')")
 def parts_by_pattern(spark: SparkSession, d: str) -> DataFrame:
     """FLT-05: the same with a regular expression, on request only."""
-    return R.containing(table(spark, d, "part"), "p_name", "[0-9]7$", regex=True).select("p_partkey", "p_name")
+    return R.containing(table(spark, d, "part"), "p_name", "^[A-M].*[a-z]{4,}$", regex=True).select("p_partkey", "p_name")
 
 
 @query("""select passage_id, doc_id, date from passages where regexp_matches(date, '^\\d{4}-\\d{2}-\\d{2}') and try_cast(left(date, 10) as date) < date '2015-06-01' and source in ('ctg', 'pubmed')""")
@@ -213,7 +213,24 @@ def passages_before(spark: SparkSession, d: str) -> DataFrame:
     return R.before(p, iso_day("date"), "2015-06-01").select("passage_id", "doc_id", "date")
 
 
-@query("select row_id, nct_id, phase, enrollment, start_date, brief_title, official_title, source, agency_class, sponsor_name, intervention_type, intervention_name, intervention_description, condition_name, number_of_facilities, loaded_at from aact_studies")
+_LEAK_NAMES = """
+overallStatus overall_status overallstatus completion_date completionDate completiondate resultsPosted results_posted resultsposted
+whyStopped why_stopped whystopped primaryCompletionDate primary_completion_date resultsSection results_section statusVerifiedDate
+status_verified_date dispositionModule disposition_module last_status lastKnownStatus Study-Completion-Date
+briefTitle nctId studyType phase eligibilityCriteria startDate conditions interventions enrollment white_label outcome_measures
+""".split()
+_LEAK_PARTS = "overallstatus|laststatus|lastknownstatus|whystopped|resultssection|resultsposted|resultsfirst(posted|submitted)|completiondate|dispositionmodule|statusverifieddate"
+
+
+@query(f"""select f.trial_row_id, n.name, regexp_matches(replace(replace(lower(n.name), '-', ''), '_', ''), '{_LEAK_PARTS}') as leaks
+from ctg_trials f, (values {", ".join(f"('{n}')" for n in _LEAK_NAMES)}) n(name)""")
+def leaking_fields(spark: SparkSession, d: str) -> DataFrame:
+    """FLT-10: field names of delivered records, told apart by what they give away."""
+    name = F.explode(F.array(*map(F.lit, _LEAK_NAMES))).alias("name")
+    return table(spark, d, "ctg_trials").select("trial_row_id", name).select("trial_row_id", "name", R.leaking_name(F.col("name")).alias("leaks"))
+
+
+@query("select * exclude (overall_status, completion_date, why_stopped) from aact_studies")
 def studies_without_leaks(spark: SparkSession, d: str) -> DataFrame:
     """FLT-10: columns that give away the outcome are dropped at plan time."""
     return R.without_leaking(table(spark, d, "aact_studies"))

@@ -74,11 +74,15 @@ def capped_feature_groups(spark: SparkSession, d: str) -> DataFrame:
     return FE.capped_groups(kg, "grp", "feature")
 
 
-@query()
+@query("""with c as (select c_mktsegment || '_' || case when c_custkey % 50 = 0 then c_custkey else c_nationkey % 2 end as s from customer),
+z as (select case when n = 1 then '__small__' else s end as stratum, sum(n) as n from (select s, count(*) as n from c group by 1) group by 1),
+q as (select stratum, unnest(['train', 'val', 'test']) as split, unnest([ceil(n * 3 / 5.0), ceil(n * 4 / 5.0) - ceil(n * 3 / 5.0), n - ceil(n * 4 / 5.0)])::bigint as n from z)
+select * from q where n > 0""")
 def stratified_split(spark: SparkSession, d: str) -> DataFrame:
-    """SPL-01: disjoint, complete, in quotas per stratum, the same on every run."""
-    c = table(spark, d, "customer")
-    return FE.stratified_split(c, "c_custkey", ["c_mktsegment"])
+    """SPL-01: rows per stratum and split; single rows are a stratum of their own."""
+    kind = F.when(F.col("c_custkey") % 50 == 0, F.col("c_custkey")).otherwise(F.col("c_nationkey") % 2)
+    c = table(spark, d, "customer").select("c_custkey", "c_mktsegment", kind.alias("kind"))
+    return FE.stratified_split(c, "c_custkey", ["c_mktsegment", "kind"]).groupBy("stratum", "split").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query()
@@ -114,6 +118,145 @@ def feature_importance(spark: SparkSession, d: str) -> DataFrame:
     return M.importance(models["gbt"], cols, spark)
 
 
+_BASE = {"l_quantity": 25.0, "l_discount": 0.05, "l_tax": 0.04}
+_F = "({q} * {d} + 10 * {d} * {t} - {t} * {t} * {q})"
+
+
+def _f(on: str) -> str:
+    return _F.format(q="l_quantity" if "q" in on else "25.0", d="l_discount" if "d" in on else "0.05", t="l_tax" if "t" in on else "0.04")
+
+
+def _shap(i: str) -> str:
+    a, b = [x for x in "qdt" if x != i]
+    return f"({_f(i)} - {_f('')}) / 3 + ({_f(i + a)} - {_f(a)}) / 6 + ({_f(i + b)} - {_f(b)}) / 6 + ({_f(i + a + b)} - {_f(a + b)}) / 3"
+
+
+_CONTRIB = f"""with c as (select l_orderkey * 10 + l_linenumber as id, {_f('')} as base, {_shap('q')} as l_quantity, {_shap('d')} as l_discount, {_shap('t')} as l_tax,
+  ({_f('qd')} - {_f('q')} - {_f('d')} + {_f('')}) / 2 + ({_f('qdt')} - {_f('qt')} - {_f('dt')} + {_f('t')}) / 2 as qd from lineitem)
+"""
+
+
+def _contributed(spark: SparkSession, d: str) -> DataFrame:
+    rows = _labelled(spark, d)
+    score = lambda df: df.withColumn("p", F.expr(_F.format(q="l_quantity", d="l_discount", t="l_tax")))
+    return M.contributions(rows, "id", list(_BASE), score, _BASE, pairs=True)
+
+
+@query(_CONTRIB + "select id, round(base, 6) as base, round(l_quantity, 6) as l_quantity, round(l_discount, 6) as l_discount, round(l_tax, 6) as l_tax, round(qd, 6) as pair from c")
+def row_contributions(spark: SparkSession, d: str) -> DataFrame:
+    """ML-05: exact contributions and an interaction per row, of a given score of three features."""
+    out = _contributed(spark, d)
+    return out.select("id", *(F.round(c, 6).alias(c) for c in ("base", *_BASE)), F.round("`l_quantity*l_discount`", 6).alias("pair"))
+
+
+@query(_CONTRIB + """select id, string_agg(f || printf(' %+.4f', v), '; ' order by abs(v) desc, f) as effects from (
+  select id, f, v, row_number() over (partition by id order by abs(v) desc, f) as r from (
+    select id, 'l_quantity' as f, round(l_quantity, 6) as v from c union all select id, 'l_discount', round(l_discount, 6) from c union all select id, 'l_tax', round(l_tax, 6) from c)) where r <= 2 group by 1""")
+def row_effects(spark: SparkSession, d: str) -> DataFrame:
+    """ML-06, ML-09: the two largest contributions of each row as text."""
+    rounded = _contributed(spark, d).select("id", *(F.round(c, 6).alias(c) for c in _BASE))
+    return M.effects_text(rounded, "id", list(_BASE), 2)
+
+
+@query("""with l as (select event_type as name, 'v' || (user_id % 20) as version, ['production', 'staging', 'none'][event_id % 3 + 1] as stage, event_id as at from events),
+t as (select name, version, arg_max(stage, at) as stage from l group by 1, 2), h as (select name, stage, arg_max(version, at) as holder from l where stage <> 'none' group by 1, 2)
+select t.name, t.version, case when h.holder = t.version then t.stage else 'none' end as stage from t left join h on t.name = h.name and t.stage = h.stage""")
+def model_stages(spark: SparkSession, d: str) -> DataFrame:
+    """ML-08, SNK-10: the stage of each version, with one holder per stage, from a log of promotions."""
+    e = table(spark, d, "events")
+    stage = F.element_at(F.array(*map(F.lit, M.STAGES)), (F.col("event_id") % 3 + 1).cast("int"))
+    log = e.select(F.col("event_type").alias("name"), F.concat(F.lit("v"), (F.col("user_id") % 20).cast("string")).alias("version"), stage.alias("stage"), F.col("event_id").alias("at"))
+    return M.current_stages(log)
+
+
+_TREE = """
+with n as (select 'C' || c_custkey as node_id, ['R' || n_regionkey, 'N' || n_nationkey, 'C' || c_custkey] as path from customer join nation on c_nationkey = n_nationkey),
+e as (select 'C' || o_custkey as node_id, o_orderkey as seq, o_totalprice / 600000 as accuracy, 1 - (o_orderkey % 50) / 50 as parsimony from orders),
+x as (select unnest(path) as node_id, seq, accuracy, parsimony, greatest(accuracy - 0.1, 0) * greatest(parsimony - 0.2, 0) as hv from e join n using (node_id))
+"""
+
+
+def _tree(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    nation = table(spark, d, "nation").select("n_nationkey", "n_regionkey")
+    c = table(spark, d, "customer").join(nation, F.col("c_nationkey") == F.col("n_nationkey"))
+    name = lambda p, col: F.concat(F.lit(p), F.col(col).cast("string"))
+    nodes = c.select(name("C", "c_custkey").alias("node_id"), F.array(name("R", "n_regionkey"), name("N", "n_nationkey"), name("C", "c_custkey")).alias("path"))
+    o = table(spark, d, "orders")
+    return nodes, o.select(name("C", "o_custkey").alias("node_id"), F.col("o_orderkey").alias("seq"), (F.col("o_totalprice") / 600000).alias("accuracy"), (1 - (F.col("o_orderkey") % 50) / 50).alias("parsimony"))
+
+
+@query(_TREE + """select 'mean' as mode, node_id, count(*)::bigint as visits, round(avg(accuracy), 6) as accuracy, round(avg(parsimony), 6) as parsimony from x group by 2
+union all select 'max', node_id, count(*)::bigint, round(max(accuracy), 6), round(max(parsimony), 6) from x group by 2
+union all select 'max_hv', node_id, n::bigint, round(accuracy, 6), round(parsimony, 6) from (
+  select *, count(*) over (partition by node_id) as n, row_number() over (partition by node_id order by hv desc, accuracy desc, seq) as r from x) where r = 1""")
+def node_values(spark: SparkSession, d: str) -> DataFrame:
+    """PO-06: values at every node of a tree by each rule of back-propagation."""
+    nodes, evaluations = _tree(spark, d)
+    out = None
+    for mode in S.MODES:
+        v = S.node_values(nodes, evaluations, ["accuracy", "parsimony"], mode, (0.1, 0.2))
+        one = v.select(F.lit(mode).alias("mode"), "node_id", "visits", F.round("accuracy", 6).alias("accuracy"), F.round("parsimony", 6).alias("parsimony"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+@query("""with e as (select o_custkey as node_id, o_orderkey as seq, case when o_orderkey % 7 = 0 then null else 'f' || (o_orderkey % 3) end as f,
+  case when o_orderkey % 11 = 0 then null when o_orderkey % 13 = 0 then 'nan'::double when o_orderkey % 17 = 0 then 'infinity'::double else o_totalprice / 600000 end as accuracy, 1 - (o_orderkey % 50) / 50 as parsimony from orders),
+s as (select node_id, accuracy, parsimony, row_number() over (partition by node_id order by greatest(accuracy - 0.1, 0) * parsimony desc, accuracy desc, seq) as r
+  from e where accuracy is not null and not isnan(accuracy) and not isinf(accuracy) and (f is null or f = 'f' || (node_id % 3)))
+select node_id, round(accuracy, 6) as accuracy, round(parsimony, 6) as parsimony from s where r = 1""")
+def own_objectives(spark: SparkSession, d: str) -> DataFrame:
+    """PO-07, PO-16: each node's best evaluation of the features that it has now, finite ones only."""
+    feature = lambda c: F.array(F.concat(F.lit("f"), (F.col(c) % 3).cast("string")))
+    nodes = table(spark, d, "customer").select(F.col("c_custkey").alias("node_id"), feature("c_custkey").alias("features"))
+    k = F.col("o_orderkey")
+    score = F.when(k % 11 == 0, None).when(k % 13 == 0, float("nan")).when(k % 17 == 0, float("inf")).otherwise(F.col("o_totalprice") / 600000)
+    e = table(spark, d, "orders").select(
+        F.col("o_custkey").alias("node_id"), k.alias("seq"), F.when(k % 7 != 0, feature("o_orderkey")).alias("features"), score.alias("accuracy"), (1 - k % 50 / 50).alias("parsimony")
+    )
+    return S.own_objectives(nodes, e, ["accuracy", "parsimony"], (0.1, 0.0)).select("node_id", F.round("accuracy", 6).alias("accuracy"), F.round("parsimony", 6).alias("parsimony"))
+
+
+@query("""with c as (select p_partkey as node_id, p_size % 7 as n_features, p_retailprice / 2200 as x, p_size / 50 as y from part),
+f as (select * from c where not exists (select 1 from c q where q.x >= c.x and q.y >= c.y and (q.x > c.x or q.y > c.y))),
+p as (select x, y, greatest(x - greatest(coalesce(lead(x) over w, 0.3), 0.3), 0) * greatest(y - greatest(coalesce(lag(y) over w, 0), 0), 0) as g from (select distinct x, y from f) window w as (order by x desc))
+select node_id, round(f.x, 6) as x, round(f.y, 6) as y, round(g, 6) as contribution from f join p on f.x = p.x and f.y = p.y where g >= (select max(g) from p) - 1e-9 order by n_features, node_id limit 1""")
+def best_feature_node(spark: SparkSession, d: str) -> DataFrame:
+    """PO-07: of the front the node that alone dominates the largest area."""
+    c = table(spark, d, "part").select(F.col("p_partkey").alias("node_id"), (F.col("p_size") % 7).alias("n_features"), F.col("p_partkey").alias("created"), (F.col("p_retailprice") / 2200).alias("x"), (F.col("p_size") / 50).alias("y"))
+    return S.best_node(c, "x", "y", (0.3, 0.0)).select("node_id", *(F.round(c, 6).alias(c) for c in ("x", "y", "contribution")))
+
+
+@query("""with p as (select p_partkey, p_retailprice::double as price, p_size::double as size, (p_partkey % 97)::double as rest from part)
+select * from p where not exists (select 1 from p q where q.price >= p.price and q.size >= p.size and q.rest >= p.rest and (q.price > p.price or q.size > p.size or q.rest > p.rest))""")
+def pareto_front_3d(spark: SparkSession, d: str) -> DataFrame:
+    """PO-01, PO-03: the front of three objectives."""
+    p = table(spark, d, "part").select("p_partkey", F.col("p_retailprice").alias("price"), F.col("p_size").alias("size"), (F.col("p_partkey") % 97).alias("rest"))
+    return S.front_nd(p, "p_partkey", ["price", "size", "rest"])
+
+
+@query()
+def volume_contributions(spark: SparkSession, d: str) -> DataFrame:
+    """PO-03: what each point of a front of three objectives alone dominates, from one seeded sample."""
+    p = table(spark, d, "part").select("p_partkey", F.col("p_retailprice").alias("price"), F.col("p_size").alias("size"), (F.col("p_partkey") % 97).alias("rest"))
+    front = S.front_nd(p, "p_partkey", ["price", "size", "rest"]).orderBy("p_partkey").collect()  # at most FRONT_BOUND
+    gain = S.contributions([[r["price"], r["size"], r["rest"]] for r in front], [900.0, 0.0, 0.0])
+    return spark.createDataFrame([(r["p_partkey"], g) for r, g in zip(front, gain, strict=True)], "p_partkey bigint, contribution double")
+
+
+_SUGGESTED = "list_filter(string_split(coalesce(conditions, ''), '|'), lambda x: x <> '')"
+
+
+@query(f"""select trial_row_id, child::int as child, 'suggestion_' || child || ': ' || left(s[child + 1], 80) as label, child >= len(s) - 1 as last from (
+  select trial_row_id, s, unnest(range(least(len(s), 3))) as child from (select trial_row_id, {_SUGGESTED} as s from ctg_trials))""")
+def suggested_children(spark: SparkSession, d: str) -> DataFrame:
+    """PO-13, PO-14: one child per suggestion, and whether the suggestions are used up after it."""
+    s = F.filter(F.split(F.coalesce("conditions", F.lit("")), r"\|"), lambda x: x != "").alias("s")
+    nodes = table(spark, d, "ctg_trials").select("trial_row_id", s)
+    c = S.children_of(nodes, "trial_row_id", "s", 3).join(nodes, "trial_row_id")
+    return c.select("trial_row_id", "child", "label", S.is_exhausted(F.col("child") + 1, F.col("s")).alias("last"))
+
+
 _SCORED = """with s as (select (l_extendedprice > 40000)::int as label, round(l_quantity - l_tax * 100, 2) as score from lineitem)
 """
 
@@ -265,7 +408,11 @@ def match_modes(spark: SparkSession, d: str) -> DataFrame:
     return out
 
 
-@query()
+@query(_SPANS.replace("with g as", "with recursive g as") + """, k as (
+  select doc_id, arg_min(id, [s, -e, id]) as id, (min([s, -e, id]))[2] * -1 as e from g group by 1
+  union all
+  select g.doc_id, arg_min(g.id, [g.s, -g.e, g.id]), (min([g.s, -g.e, g.id]))[2] * -1 from k join g on g.doc_id = k.doc_id and g.s >= k.e group by 1)
+select doc_id, id from k""")
 def spans_without_overlap(spark: SparkSession, d: str) -> DataFrame:
     """SRT-09."""
     return E.without_overlaps(_spans(spark, d)[0])
@@ -321,7 +468,19 @@ def ks_distance(spark: SparkSession, d: str) -> DataFrame:
     return E.ks_statistic(e.filter("event_type = 'click'").select("x"), e.filter("event_type = 'purchase'").select("x"))
 
 
-@query()
+def _ks_sql(x: str, name: str) -> str:
+    return f"""{name}n as materialized (select count(*) filter (where old and {x} is not null) as a, count(*) filter (where not old and {x} is not null) as b from l),
+{name}d as (select max(abs(ca / a - cb / b)) as d from (select sum(o) over (order by v) as ca, sum(n) over (order by v) as cb from (
+  select {x} as v, count(*) filter (where old) as o, count(*) filter (where not old) as n from l where {x} is not null group by 1)), {name}n),
+{name} as (select least(1, greatest(0, 2 * list_sum(list_transform(range(1, 101), lambda k: (case when k % 2 = 1 then 1 else -1 end) * exp(-2 * k * k * lam * lam))))) as p
+  from (select (sqrt(a * b / (a + b)) + 0.12 + 0.11 / sqrt(a * b / (a + b))) * round(d, 6) as lam from {name}n, {name}d))"""
+
+
+@query(f"""with m as (select quantile_cont(epoch_us(ts), 0.5) as mid from events), l as materialized (select epoch_us(ts) <= mid as old, value / 1000 as pr, value as la from events, m),
+{_ks_sql("pr", "p")}, {_ks_sql("la", "q")},
+f as (select list_filter(['probability', 'latency'], lambda c: (c = 'probability' and (select p from p) < 0.05) or (c = 'latency' and (select p from q) < 0.05)) as drifted),
+w as (select count(*) filter (where not old and la is null) / nullif(count(*) filter (where not old), 0) as missing, avg(la) filter (where not old) / avg(la) filter (where old) as slower from l)
+select case when len(drifted) > 0 or missing > 0.1 or slower > 1.5 then 'drift' else 'stable' end as status, (select count(*) from events)::bigint as rows, drifted from f, w""")
 def drift_verdict(spark: SparkSession, d: str) -> DataFrame:
     """STM-06, WIN-12: the newer half of the log against the older."""
     v = MO.drift(_log(spark, d), ["latency"])

@@ -24,19 +24,17 @@ def query(sql: str | None = None):
     return add
 
 
-@query(r"""select doc_id, len(s)::int as sentences, s[1] as first from (
-  select doc_id, list_filter(list_transform(string_split_regex(trim(text), '(?:\n+)'), lambda x: trim(x)), lambda x: length(x) >= 10) as s from documents where text is not null and not regexp_matches(text, '[.!?]\s'))""")
-def sentence_split(spark: SparkSession, d: str) -> DataFrame:
-    """STR-01 on texts without inner sentence ends (SQL has no look-behind); p9 and tests cover the rest."""
-    docs = table(spark, d, "documents").filter(F.col("text").isNotNull() & ~F.col("text").rlike(r"[.!?]\s"))
-    s = T.sentences(F.col("text"))
-    return docs.select("doc_id", F.size(s).alias("sentences"), F.try_element_at(s, F.lit(1)).alias("first"))
+_SENTENCES = r"""
+  select doc_id, list_filter(list_transform(string_split_regex(regexp_replace(trim(text, ' '), '([.!?])[ \t\n\v\f\r]+', '\1' || chr(1), 'g'), chr(1) || '+|\n+'),
+    lambda x: trim(x, ' ')), lambda x: length(x) >= 10) as s from documents where text is not null"""
 
 
-@query()
-def sentence_counts(spark: SparkSession, d: str) -> DataFrame:
-    """STR-01 on all texts."""
-    return table(spark, d, "documents").select("doc_id", F.size(T.sentences(F.col("text"))).alias("sentences"))
+@query(f"select doc_id, len(s)::int as sentences, s[1] as first, s[-1] as last from ({_SENTENCES})")
+def sentence_split(spark: SparkSession, d: str) -> DataFrame:
+    """STR-01 over all texts; SQL has no look-behind and marks the ends first."""
+    s = T.sentences(F.col("text"))
+    docs = table(spark, d, "documents").filter("text is not null").select("doc_id", s.alias("s"))
+    return docs.select("doc_id", F.size("s").alias("sentences"), F.try_element_at("s", F.lit(1)).alias("first"), F.try_element_at("s", F.lit(-1)).alias("last"))
 
 
 @query("""select doc_id, ((length(text) - length(replace(text, 'mg', ''))) / 2)::int as n from documents where text is not null""")
@@ -57,13 +55,35 @@ def plan_hashes(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "aact_studies").select("row_id", T.canonical_hash(("phase", F.col("phase")), ("name", F.col("intervention_name"))).alias("plan_hash"))
 
 
-@query("""select trial_row_id, case lower(trim(phases)) when 'phase iii' then 'PHASE3' when 'phase 2' then 'PHASE2' else upper(trim(phases)) end as phase,
-  upper(trim(study_type)) as study_type from ctg_trials""")
+_PHASE_SQL = """case
+  when regexp_full_match({0}, '(PHASE|P)?1|PHASEI') then 'PHASE1' when regexp_full_match({0}, '(PHASE|P)?2|PHASEII') then 'PHASE2'
+  when regexp_full_match({0}, '(PHASE|P)?3|PHASEIII') then 'PHASE3' when regexp_full_match({0}, '(PHASE|P)?4|PHASEIV') then 'PHASE4'
+  when regexp_full_match({0}, 'EARLYP(HASE)?1') then 'EARLY_PHASE1' else upper({1}) end"""
+_TYPE_SQL = """case upper(trim({0})) when 'INT' then 'INTERVENTIONAL' when 'OBS' then 'OBSERVATIONAL' else upper(trim({0})) end"""
+
+
+def _phase_sql(c: str) -> str:
+    return _PHASE_SQL.format(f"replace(replace(replace(upper({c}), ' ', ''), '-', ''), '_', '')", c)
+
+
+@query(f"select trial_row_id, {_phase_sql('phases')} as phase, {_TYPE_SQL.format('study_type')} as study_type from ctg_trials")
 def normalised_trials(spark: SparkSession, d: str) -> DataFrame:
     """STR-03, STR-05, STR-06."""
     return table(spark, d, "ctg_trials").select("trial_row_id", T.phase_code(F.col("phases")).alias("phase"), T.study_type_code(F.col("study_type")).alias("study_type"))
 
 
+_SPELLINGS = ["Phase {0}", "phase-{0}", "PHASE_{0}", "p{0}", " {0} ", "early phase {0}", "EarlyP{0}", "Phase {0}/2"]
+
+
+@query(f"""select row_id, f, {_phase_sql("replace(f, '{0}', right(phase, 1))")} as phase, {_TYPE_SQL.format("left(intervention_type, 3)")} as kind
+from aact_studies, (values {", ".join(f"('{x}')" for x in _SPELLINGS)}) v(f) where phase is not null""")
+def respelled_phases(spark: SparkSession, d: str) -> DataFrame:
+    """STR-03, STR-05, STR-06 on every way to write a phase."""
+    s = table(spark, d, "aact_studies").filter("phase is not null").select("row_id", "phase", "intervention_type", F.explode(F.array(*map(F.lit, _SPELLINGS))).alias("f"))
+    typed = F.replace("f", F.lit("{0}"), F.right("phase", F.lit(1)))
+    return s.select("row_id", "f", T.phase_code(typed).alias("phase"), T.study_type_code(F.left("intervention_type", F.lit(3))).alias("kind"))
+
+
 @query("select doc_id, len(regexp_extract_all(text, '(?s).{900}[^ \n]*|.+'))::int as chunks from documents where text is not null")
 def chunk_counts(spark: SparkSession, d: str) -> DataFrame:
     """STR-09, GR-04."""
@@ -77,7 +97,8 @@ def application_types(spark: SparkSession, d: str) -> DataFrame:
     return p.select("passage_id", T.application_type(F.col("doc_id")).alias("kind"), T.truncated(F.col("text")).alias("short"))
 
 
-@query()
+@query("""select chembl_id, array_to_string(list_transform(range(len(pref_name)), lambda i: case when i = 0 or not regexp_matches(lower(pref_name)[i], '\\p{L}') then upper(pref_name[i + 1]) else lower(pref_name[i + 1]) end), '') as name,
+  pref_name as bare from molecules""")
 def title_cased(spark: SparkSession, d: str) -> DataFrame:
     """STR-04, STR-14: title case after any non-letter; quotes stripped."""
     m = table(spark, d, "molecules")
@@ -189,7 +210,14 @@ def graph_passages(spark: SparkSession, d: str) -> DataFrame:
     return P.graph_passages(table(spark, d, "primekg"))
 
 
-@query()
+_EVERY = ("trial_passages", "event_passages", "sponsor_passages", "molecule_passages", "graph_passages")
+
+
+@query(
+    "select source, count(*)::bigint as passages, sum(length(text))::bigint as characters from ("
+    + " union all ".join(f"select source, text from ({SQL[n]})" for n in _EVERY)
+    + " union all select 'drugsfda', trim(text) from documents where trim(text) <> '') group by 1"
+)
 def all_passages(spark: SparkSession, d: str) -> DataFrame:
     """PSG-07, PSG-08, PSG-10: passages per source, from one registry of builders."""
     t = {"ctg": "ctg_trials", "faers": "faers", "aact": "aact_studies", "chembl": "molecules", "primekg": "primekg", "drugsfda": "documents"}

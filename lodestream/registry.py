@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from lodestream.queries import etl, learning, problems, records, retrieval, storage, texts
+from lodestream.queries import etl, learning, problems, records, retrieval, services, storage, texts
 
 
 def modules() -> list:
-    return [problems, etl, texts, retrieval, learning, records, storage]
+    return [problems, etl, texts, retrieval, learning, records, storage, services]

@@ -1,20 +1,21 @@
-"""Sources beyond Parquet: delimited text, JSON, XML text, SQLite and paged services.
+"""Sources and sinks beyond Parquet: delimited text, JSON, XML text, SQLite, graph files, reports; ``services`` has paged services.
 
-Schemas are always given, so nothing is read twice to infer them. The paged and SQLite sources are
-Python data sources; their partitions are read on executors.
+Schemas are always given, so nothing is read twice to infer them. The SQLite source is a Python data
+source; its partitions are read on executors.
 """
 
 from __future__ import annotations
 
 import json
-import time
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.types import StructType
 
+from lodestream.session import cut_lineage
+
 
 def delimited(spark: SparkSession, path: str, schema: str, sep: str = "|", required: tuple[str, ...] = ()) -> DataFrame:
     """Delimited text with a header; empty fields are null; missing required columns raise ValueError."""
@@ -92,127 +93,75 @@ class _SqliteReader(DataSourceReader):
             yield from con.execute(sql, (lo, hi))
 
 
-#: Page fetchers by name: fetch(options, token) -> (records, next token or None).
-FETCHERS: dict[str, Callable[[dict, str | None], tuple[list[dict], str | None]]] = {}
-
-
-def http_json(options: dict, token: str | None) -> tuple[list[dict], str | None]:
-    """Pages of a JSON service: records below options['records'], the next token below options['next']."""
-    from urllib.parse import urlencode
-    from urllib.request import urlopen
-
-    query = {k[6:]: v for k, v in options.items() if k.startswith("query.")}
-    query[options.get("size_param", "pageSize")] = options.get("page_size", "1000")
-    if token:
-        query[options.get("token_param", "pageToken")] = token
-    with urlopen(f"{options['url']}?{urlencode(query)}", timeout=60) as r:
-        body = json.load(r)
-    return body.get(options.get("records", "records"), []), body.get(options.get("next", "nextPageToken"))
-
-
-FETCHERS["http_json"] = http_json
-
-
-def counter(options: dict, token: str | None) -> tuple[list[dict], str | None]:
-    """Numbered records 0 to options['total'] - 1 in pages, without a network: for trials of a pipeline."""
-    at, size, total = int(token or options.get("since", 0)), int(options.get("page_size", 100)), int(options.get("total", 1000))
-    end = min(total, at + size)
-    return [{"n": i} for i in range(at, end)], str(end) if end < total else None
-
-
-FETCHERS["counter"] = counter
-
-
-def looked_up(df: DataFrame, col: str, fetch: Callable[[list[str]], dict[str, list[str]]], batch: int = 200, at_most: int = 50) -> DataFrame:
-    """(name, synonym): results of a service for the names of a column, asked in batches; a failed batch gives none."""
-    import pandas as pd
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            names = pdf["name"].tolist()
-            rows = []
-            for i in range(0, len(names), batch):
-                try:
-                    got = fetch(names[i : i + batch])
-                except Exception:  # noqa: BLE001 - the names of this batch stay unanswered
-                    continue
-                rows += [(n, x) for n in names[i : i + batch] for x in got.get(n, [])[:at_most]]
-            yield pd.DataFrame(rows, columns=["name", "synonym"])
-
-    names = df.select(F.col(col).alias("name")).filter("name <> ''").distinct()
-    return names.mapInPandas(run, "name string, synonym string")
+def register(spark: SparkSession) -> None:
+    spark.dataSource.register(SqliteSource)
 
 
-def retried(fetch: Callable, attempts: int = 5, first_wait: float = 2.0, most: float = 60.0) -> Callable:
-    """Tries again with doubling waits; the last failure is raised, so no gap goes unnoticed."""
+def write_csv(df: DataFrame, path: str) -> None:
+    df.write.mode("overwrite").option("header", True).csv(path)
 
-    def run(*args):
-        wait = first_wait
-        for i in range(attempts):
-            try:
-                return fetch(*args)
-            except Exception:
-                if i == attempts - 1:
-                    raise
-                time.sleep(min(wait, most))
-                wait *= 2
-        return None
 
-    return run
+def append_by_day(df: DataFrame, path: str, ts: str = "ts") -> None:
+    """Appends to a table partitioned by day; Spark commits the files of a run at once."""
+    df.withColumn("dt", F.to_date(ts)).write.partitionBy("dt").mode("append").parquet(path)
 
 
-class PagedSource(DataSource):
-    """format('paged'): records of a paged service as (record JSON); options fetcher, max_pages, since and those of the fetcher."""
+def write_json(df: DataFrame, path: str) -> None:
+    df.write.mode("overwrite").json(path)
 
-    @classmethod
-    def name(cls) -> str:
-        return "paged"
 
-    def schema(self) -> str:
-        return "record string"
+def log_run(spark: SparkSession, path: str, run: str, metrics: dict[str, float]) -> None:
+    """Appends a run's metrics, one row each."""
+    rows = [(run, k, float(v)) for k, v in sorted(metrics.items())]
+    spark.createDataFrame(rows, "run string, metric string, value double").coalesce(1).write.mode("append").parquet(path)
 
-    def reader(self, schema: StructType) -> DataSourceReader:
-        return _PagedReader(dict(self.options))
 
+def best_run(spark: SparkSession, path: str, metric: str, limit: int = 1) -> DataFrame:
+    """(run, value) of the runs with the largest value of a metric; ties go to the first name."""
+    return spark.read.parquet(path).filter(F.col("metric") == metric).orderBy(F.desc("value"), "run").limit(limit).select("run", "value")
 
-class _PagedReader(DataSourceReader):
-    def __init__(self, options: dict):
-        self.o = options
 
-    def read(self, partition) -> Iterator[tuple]:
-        fetch = retried(FETCHERS[self.o.get("fetcher", "http_json")], first_wait=float(self.o.get("first_wait", 2)))
-        token, page = None, 0
-        while page < int(self.o.get("max_pages", 1_000_000)):
-            records, token = fetch(self.o, token)
-            for r in records:
-                yield (json.dumps(r),)
-            page += 1
-            if not token or not records:
-                return
+def assembled_texts(docs: DataFrame, key: str, passages: str) -> DataFrame:
+    """(key, text): the texts of a document's passages (structs with a list ``text``), one per line; none gives an empty text."""
+    parts = F.flatten(F.transform(F.coalesce(F.col(passages), F.array()), lambda p: F.coalesce(p["text"], F.array())))
+    return docs.select(key, F.array_join(parts, "\n").alias("text"))
 
 
-def register(spark: SparkSession) -> None:
-    for s in (SqliteSource, PagedSource):
-        spark.dataSource.register(s)
+_ESCAPES = (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"))
 
 
-def write_csv(df: DataFrame, path: str) -> None:
-    df.write.mode("overwrite").option("header", True).csv(path)
+def _escaped(c: str) -> Column:
+    out = F.coalesce(F.col(c).cast("string"), F.lit(""))
+    for ch, code in _ESCAPES:
+        out = F.replace(out, F.lit(ch), F.lit(code))
+    return out
 
 
-def append_by_day(df: DataFrame, path: str, ts: str = "ts") -> None:
-    """Appends to a table partitioned by day; Spark commits the files of a run at once."""
-    df.withColumn("dt", F.to_date(ts)).write.partitionBy("dt").mode("append").parquet(path)
+def write_graphml(edges: DataFrame, path: str) -> None:
+    """Weighted undirected edges (src, dst, weight) as GraphML: the parts of the folder, in order of their names, are the file."""
+    node = F.format_string('<node id="%s"/>', "id")
+    edge = F.format_string('<edge source="%s" target="%s"><data key="weight">%s</data></edge>', "s", "t", "w")
+    ends = edges.select(_escaped("src").alias("s"), _escaped("dst").alias("t"), F.col("weight").cast("double").cast("string").alias("w"))
+    ids = ends.select(F.col("s").alias("id")).unionByName(ends.select(F.col("t").alias("id"))).distinct()
+    spark = edges.sparkSession
+    head = '<?xml version="1.0" encoding="UTF-8"?>\n<graphml xmlns="http://graphml.graphdrawing.org/xmlns">\n'
+    head += '<key id="weight" for="edge" attr.name="weight" attr.type="double"/>\n<graph edgedefault="undirected">'
+    frame = spark.createDataFrame([(0, head), (3, "</graph>\n</graphml>")], "part int, line string")
+    lines = frame.unionByName(ids.select(F.lit(1).alias("part"), node.alias("line"))).unionByName(ends.select(F.lit(2).alias("part"), edge.alias("line")))
+    lines.orderBy("part", "line").select("line").write.mode("overwrite").text(path)
 
 
-def write_json(df: DataFrame, path: str) -> None:
-    df.write.mode("overwrite").json(path)
+def read_graphml(spark: SparkSession, path: str) -> DataFrame:
+    """(src, dst, weight) of a GraphML file or folder; an edge without a weight has weight 1."""
+    schema = "_source string, _target string, data array<struct<_key string, _VALUE double>>"
+    e = spark.read.format("xml").option("rowTag", "edge").schema(schema).load(path)
+    w = F.try_element_at(F.filter("data", lambda x: x["_key"] == "weight"), F.lit(1))["_VALUE"]
+    return e.select(F.col("_source").alias("src"), F.col("_target").alias("dst"), F.coalesce(w, F.lit(1.0)).alias("weight"))
 
 
-def log_run(spark: SparkSession, path: str, run: str, metrics: dict[str, float]) -> None:
-    """Appends a run's metrics, one row each."""
-    rows = [(run, k, float(v)) for k, v in sorted(metrics.items())]
-    spark.createDataFrame(rows, "run string, metric string, value double").coalesce(1).write.mode("append").parquet(path)
+def markdown_report(title: str, sections: dict[str, DataFrame], at_most: int = 100) -> str:
+    """A report of small results, one section each."""
+    return "\n\n".join([f"# {title}", *(f"## {name}\n\n{markdown_table(df, at_most)}" for name, df in sections.items())]) + "\n"
 
 
 def markdown_table(df: DataFrame, at_most: int = 100) -> str:
@@ -224,3 +173,37 @@ def markdown_table(df: DataFrame, at_most: int = 100) -> str:
     if len(rows) > at_most:
         lines.append(f"\nOnly the first {at_most} rows are shown.")
     return "\n".join(lines)
+
+
+def saved_progress(spark: SparkSession, path: str) -> dict[str, str]:
+    """{source: the latest day up to which it was taken over}; nothing yet: empty."""
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    if not at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at):
+        return {}
+    rows = spark.read.schema("source string, last_updated string").json(path).groupBy("source").agg(F.max("last_updated").alias("d"))
+    return {r["source"]: r["d"] for r in rows.collect()}  # one row per source
+
+
+def save_progress(spark: SparkSession, path: str, source: str, day: str) -> None:
+    """Adds a line to the state, to be called after the data of the source are committed: a lost run is taken over again."""
+    spark.createDataFrame([(source, day)], "source string, last_updated string").coalesce(1).write.mode("append").json(path)
+
+
+def take_over(spark: SparkSession, state: str, source: str, rows: DataFrame, day: str, target: str) -> int:
+    """Appends the rows of a source from its saved day on to a table, then moves the day on; returns the rows added.
+
+    The saved day is taken over again, as a day may have been incomplete, so rows of it that are there already are left out.
+    """
+    since = saved_progress(spark, state).get(source)
+    d = F.to_date(day)
+    fresh = rows.filter(d.isNotNull() if since is None else d >= F.lit(since).cast("date"))
+    if since is not None:
+        seen = spark.read.parquet(target).filter(d >= F.lit(since).cast("date"))
+        fresh = fresh.join(seen, rows.columns, "left_anti")
+    fresh = cut_lineage(fresh)
+    n, last = fresh.agg(F.count(F.lit(1)), F.max(d)).first()
+    if n:
+        fresh.write.mode("append").parquet(target)
+        save_progress(spark, state, source, str(last))
+    return n

@@ -1,7 +1,7 @@
 """Structured Streaming jobs: file sources, watermarked windows, upserts per batch, keyed state.
 
 Each job runs with availableNow, so a finite input ends it, and continues from its checkpoint. A batch
-that is delivered twice changes nothing: appends go to a folder per batch, upserts replace by key.
+that is delivered twice changes nothing: upserts replace by key, in a folder per batch.
 """
 
 from __future__ import annotations
@@ -55,35 +55,54 @@ def drain_batches(stream: DataFrame, sink: Callable[[DataFrame, int], None], che
     q.awaitTermination()
 
 
-def upsert_sink(table_dir: str, keys: list[str], order: list[str]) -> Callable[[DataFrame, int], None]:
-    """A foreachBatch sink that keeps the last row of each key, in a new folder per batch.
+def upsert_sink(table_dir: str, keys: list[str], order: list[str], buckets: int = 64) -> Callable[[DataFrame, int], None]:
+    """A foreachBatch sink that keeps the last row of each key, in buckets of keys.
 
-    The folder of the highest number is the table. A batch that comes again rewrites its own folder
-    from the one before, so a rerun after a failure gives the same table.
+    A batch rewrites only the buckets that it has keys of, into a folder of its number; the newest folder of
+    each bucket is the table. A batch that comes again rewrites its own folder from those before, so a rerun
+    after a failure gives the same table.
     """
 
     def sink(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        older = [n for n in versions(spark, table_dir) if n < number]
-        existing = spark.read.parquet(f"{table_dir}/v={max(older):09d}") if older else batch.limit(0)
-        upsert(existing, batch, keys, order).write.mode("overwrite").parquet(f"{table_dir}/v={number:09d}")
+        b = batch.dropna(subset=keys).withColumn("__bucket", F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int"))
+        touched = {r[0] for r in b.select("__bucket").distinct().collect()}  # at most ``buckets``
+        older = {k: v for k, v in newest(spark, table_dir, below=number).items() if k in touched}
+        existing = _read(spark, table_dir, older).withColumn("__bucket", F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int")) if older else b.limit(0)
+        upsert(existing, b, keys, order).write.mode("overwrite").partitionBy("__bucket").parquet(f"{table_dir}/v={number:09d}")
 
     return sink
 
 
-def versions(spark: SparkSession, table_dir: str) -> list[int]:
+def newest(spark: SparkSession, table_dir: str, below: int | None = None) -> dict[int, int]:
+    """{bucket: number of the newest finished batch that wrote it}, of batches below a number if one is given."""
     jvm = spark.sparkContext._jvm
     path = jvm.org.apache.hadoop.fs.Path(table_dir)
     fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    out: dict[int, int] = {}
     if not fs.exists(path):
-        return []
-    names = [s.getPath() for s in fs.listStatus(path)]
-    done = [p for p in names if fs.exists(jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS"))]
-    return sorted(int(p.getName()[2:]) for p in done if p.getName().startswith("v="))
+        return out
+    for folder in (x.getPath() for x in fs.listStatus(path)):
+        if not folder.getName().startswith("v=") or not fs.exists(jvm.org.apache.hadoop.fs.Path(folder, "_SUCCESS")):
+            continue
+        n = int(folder.getName()[2:])
+        if below is None or n < below:
+            for b in (x.getPath().getName() for x in fs.listStatus(folder)):
+                if b.startswith("__bucket="):
+                    out[int(b[9:])] = max(n, out.get(int(b[9:]), -1))
+    return out
+
+
+def _read(spark: SparkSession, table_dir: str, parts: dict[int, int]) -> DataFrame:
+    return spark.read.parquet(*(f"{table_dir}/v={n:09d}/__bucket={b}" for b, n in sorted(parts.items())))
 
 
 def latest(spark: SparkSession, table_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{table_dir}/v={versions(spark, table_dir)[-1]:09d}")
+    """The table that ``upsert_sink`` keeps; no batch yet is a ValueError."""
+    parts = newest(spark, table_dir)
+    if not parts:
+        raise ValueError(f"no finished batch below {table_dir}")
+    return _read(spark, table_dir, parts)
 
 
 def running_state(events: DataFrame) -> DataFrame:

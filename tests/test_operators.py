@@ -26,7 +26,9 @@ def test_text_functions(spark):
     assert one(spark, T.title_case(F.col("a")), a="o'neil mc-coy") == "O'Neil Mc-Coy"
     assert one(spark, T.occurrences(F.col("a"), F.lit("aa")), a="aaaa") == 2
     assert one(spark, T.occurrences(F.col("a"), F.lit("")), a="aaaa") == 0
-    assert one(spark, T.phase_code(F.col("a")), a=" Phase II ") == "PHASE2"
+    for a, want in ((" Phase II ", "PHASE2"), ("P1", "PHASE1"), ("phase-III", "PHASE3"), ("EARLY_P1", "EARLY_PHASE1"), ("iv", "IV"), ("", "")):
+        assert one(spark, T.phase_code(F.col("a")), a=a) == want
+    assert one(spark, T.study_type_code(F.col("a")), a=" obs ") == "OBSERVATIONAL"
     assert one(spark, T.phase_code(F.col("a")), a="odd") == "ODD"
     assert one(spark, T.unquoted(F.col("a")), a="\"'x'\"") == "x"
     assert len(one(spark, T.truncated(F.col("a")), a="y" * 300)) == 200
@@ -54,6 +56,7 @@ def test_upsert_and_keep_last(spark):
 
 def test_leaking_columns():
     assert R.is_leaking("overall_status") and R.is_leaking("resultsPosted") and R.is_leaking("whyStopped")
+    assert R.is_leaking("last-known_status") and R.is_leaking("dispositionModule") and not R.is_leaking("white_label") and not R.is_leaking("outcomes")
     assert not R.is_leaking("brief_title") and not R.is_leaking("start_date")
 
 

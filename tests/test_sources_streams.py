@@ -1,10 +1,14 @@
 import datetime as dt
 import sqlite3
+import time
+
+import pytest
 
 from pyspark.sql import functions as F
 
 from lodestream.operators import models as M
 from lodestream.sources import connectors as C
+from lodestream.sources import services as SV
 from lodestream.streaming import jobs
 from tests.conftest import rows
 
@@ -33,10 +37,7 @@ def test_sqlite_partitions(spark, tmp_path):
     assert df.count() == 23 and df.agg(F.sum("phase")).first()[0] == 138.0
 
 
-def test_paged_source_and_retries(spark):
-    C.register(spark)
-    from lodestream.sources.connectors import retried
-
+def test_requests_are_retried_and_kept_apart():
     calls = []
 
     def flaky(x):
@@ -45,11 +46,60 @@ def test_paged_source_and_retries(spark):
             raise OSError("down")
         return "ok"
 
-    assert retried(flaky, first_wait=0.0)(1) == "ok" and len(calls) == 3
-    reader = C._PagedReader({"fetcher": "fake"})
-    C.FETCHERS["fake"] = lambda o, token: ([{"n": int(token or 0)}], str(int(token or 0) + 1) if int(token or 0) < 4 else None)
-    assert len(list(reader.read(None))) == 5
-    assert len(list(C._PagedReader({"fetcher": "fake", "max_pages": "2"}).read(None))) == 2
+    assert SV.retried(flaky, first_wait=0.0)(1) == "ok" and len(calls) == 3
+    with pytest.raises(OSError):
+        SV.retried(lambda: (_ for _ in ()).throw(OSError("down")), attempts=2, first_wait=0.0)()
+    begin = time.monotonic()
+    kept = SV.retried(lambda: None, least_gap=0.05)
+    kept(), kept(), kept()
+    assert time.monotonic() - begin >= 0.1
+
+
+def test_pages_by_token_and_by_records_passed_over():
+    data = [{"n": i} for i in range(25)]
+
+    def ask(r):
+        at = int(r.get("skip") or r.get("token") or 0)
+        part = data[at : at + r["size"]]
+        return {"records": part, "next": str(at + len(part)) if at + len(part) < len(data) else None}
+
+    for by in ("token", "skip"):
+        for size in (5, 7, 25, 100):
+            assert [r["n"] for p in SV.pages(ask, {"size": size}, by) for r in p] == list(range(25)), (by, size)
+    assert len(list(SV.pages(ask, {"size": 5}, max_pages=2))) == 2
+
+
+def test_failed_batches_are_rows_and_not_found_is_empty(spark, tmp_path):
+    spark.createDataFrame([(i, f"n{i}") for i in range(6)], "id int, name string").write.parquet(str(tmp_path / "t"))
+    ids = spark.createDataFrame([(str(i),) for i in range(6)] + [(None,), ("",)], "id string").coalesce(1)
+    o = {"service": "table", "path": str(tmp_path / "t"), "key": "id", "first_wait": "0"}
+    got = SV.fetch_by_ids(ids, "id", o, "id", batch=4)
+    assert got.filter("record is not null").count() == 6 and got.filter("error is not null").count() == 0
+    bad = SV.fetch_by_ids(ids, "id", {**o, "path": str(tmp_path / "gone")}, "id", batch=10)
+    assert [r["record"] for r in bad.collect()] == [None] and "FileNotFound" in bad.first()["error"]
+    none = SV.search(spark, {**o, "where.id": "77", "strict": "true"}, "id int")
+    assert none.count() == 0
+    assert SV.count(spark, {**o, "where.id": "1,2,77"}).first()[0] == 2
+
+
+def test_graphml_is_well_formed(spark, tmp_path):
+    from xml.etree import ElementTree
+
+    e = spark.createDataFrame([("a<b", 'c"&d', 2.5), ("x", "y", None)], "src string, dst string, weight double")
+    C.write_graphml(e, str(tmp_path / "g"))
+    text = "".join(p.read_text() for p in sorted((tmp_path / "g").glob("part-*")))
+    assert len(ElementTree.fromstring(text.encode()).findall(".//{*}node")) == 4
+    assert rows(C.read_graphml(spark, str(tmp_path / "g"))) == [("a<b", 'c"&d', 2.5), ("x", "y", 1.0)]
+
+
+def test_progress_moves_after_the_data(spark, tmp_path):
+    state, target = str(tmp_path / "state"), str(tmp_path / "t")
+    day = lambda n: dt.datetime(2024, 1, n)
+    a = spark.createDataFrame([(1, day(1)), (2, day(2)), (3, None)], "id int, ts timestamp")
+    b = spark.createDataFrame([(2, day(2)), (4, day(2)), (5, day(3))], "id int, ts timestamp")
+    assert C.saved_progress(spark, state) == {}
+    assert [C.take_over(spark, state, "s", x, "ts", target) for x in (a, a, b, b)] == [2, 0, 2, 0]
+    assert C.saved_progress(spark, state) == {"s": "2024-01-03"} and spark.read.parquet(target).count() == 4
 
 
 def test_append_by_day(spark, tmp_path):
