@@ -89,7 +89,7 @@ def contributions(rows: DataFrame, key: str, cols: list[str], score: Callable[[D
     score adds ``p`` to rows of (key, features). Every subset of the features is scored with the others at
     their baseline, so there are 2^n rows per row, and n is at most MAX_FEATURES; those of a row lie in one task and
     are summed up there. The features and base add up to the row's score. With pairs, columns a*b hold the
-    interaction index of each pair. Keys are unique; a null feature counts as its baseline.
+    interaction index of each pair. Rows with equal keys stay apart; a null feature counts as its baseline.
     """
     n = len(cols)
     if not 0 < n <= MAX_FEATURES:
@@ -99,8 +99,9 @@ def contributions(rows: DataFrame, key: str, cols: list[str], score: Callable[[D
     double = F.array(*[F.lit(f(s) * f(n - s - 2) / f(n - 1)) for s in range(n - 1)]) if n > 1 else None
     mask = F.col("__mask")
     inside = {c: F.getbit(mask, F.lit(i)) == 1 for i, c in enumerate(cols)}
-    spread = rows.select(key, *(F.col(c).cast("double").alias(c) for c in cols), F.explode(F.sequence(F.lit(0), F.lit(2**n - 1))).alias("__mask"))
-    masked = spread.select(key, "__mask", *(F.when(inside[c], F.coalesce(F.col(c), F.lit(float(baseline[c])))).otherwise(F.lit(float(baseline[c]))).alias(c) for c in cols))
+    numbered = rows.select(key, *(F.col(c).cast("double").alias(c) for c in cols)).withColumn("__row", F.monotonically_increasing_id())
+    spread = numbered.select("*", F.explode(F.sequence(F.lit(0), F.lit(2**n - 1))).alias("__mask"))
+    masked = spread.select(key, "__row", "__mask", *(F.when(inside[c], F.coalesce(F.col(c), F.lit(float(baseline[c])))).otherwise(F.lit(float(baseline[c]))).alias(c) for c in cols))
     size = F.bit_count(mask)
 
     def own(c: str) -> Column:
@@ -113,13 +114,13 @@ def contributions(rows: DataFrame, key: str, cols: list[str], score: Callable[[D
     sums = [F.sum(F.col("p") * own(c)).alias(c) for c in cols]
     if pairs:
         sums += [F.sum(F.col("p") * both(a, b)).alias(f"{a}*{b}") for a, b in combinations(cols, 2)]
-    return score(masked).groupBy(key).agg(F.sum(F.when(mask == 0, F.col("p"))).alias("base"), *sums)
+    return score(masked).groupBy("__row", key).agg(F.sum(F.when(mask == 0, F.col("p"))).alias("base"), *sums).drop("__row")
 
 
 def effects_text(contributed: DataFrame, key: str, cols: list[str], k: int = 3) -> DataFrame:
     """(key, effects): the k largest contributions of a row by size, with their sign, ties by name."""
-    each = F.array(*(F.struct((-F.abs(c)).alias("o"), F.lit(c).alias("name"), F.col(c).alias("v")) for c in cols))
-    said = F.transform(F.slice(F.array_sort(each), 1, k), lambda x: F.format_string("%s %+.4f", x["name"], x["v"]))
+    each = F.array(*(F.struct((-F.round(F.abs(c), 9)).alias("o"), F.lit(c).alias("name"), F.col(c).alias("v")) for c in cols))
+    said = F.transform(F.slice(F.array_sort(each), 1, k), lambda x: F.format_string("%s %+.4f", x["name"], F.round(x["v"], 4) + 0.0))
     return contributed.select(key, F.array_join(said, "; ").alias("effects"))
 
 

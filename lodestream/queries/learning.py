@@ -149,17 +149,17 @@ def row_contributions(spark: SparkSession, d: str) -> DataFrame:
     return out.select("id", *(F.round(c, 6).alias(c) for c in ("base", *_BASE)), F.round("`l_quantity*l_discount`", 6).alias("pair"))
 
 
-@query(_CONTRIB + """select id, string_agg(f || printf(' %+.4f', v), '; ' order by abs(v) desc, f) as effects from (
-  select id, f, v, row_number() over (partition by id order by abs(v) desc, f) as r from (
-    select id, 'l_quantity' as f, round(l_quantity, 6) as v from c union all select id, 'l_discount', round(l_discount, 6) from c union all select id, 'l_tax', round(l_tax, 6) from c)) where r <= 2 group by 1""")
+@query(_CONTRIB + """select id, array_to_string(list_transform(list_slice(list_sort([{'o': -round(abs(l_quantity / 7), 9), 'n': 'l_quantity', 'v': l_quantity / 7},
+  {'o': -round(abs(l_discount / 7), 9), 'n': 'l_discount', 'v': l_discount / 7}, {'o': -round(abs(l_tax / 7), 9), 'n': 'l_tax', 'v': l_tax / 7}]), 1, 2),
+  lambda x: x.n || printf(' %+.4f', round(x.v, 4) + 0.0)), '; ') as effects from c""")
 def row_effects(spark: SparkSession, d: str) -> DataFrame:
     """ML-06, ML-09: the two largest contributions of each row as text."""
-    rounded = _contributed(spark, d).select("id", *(F.round(c, 6).alias(c) for c in _BASE))
-    return M.effects_text(rounded, "id", list(_BASE), 2)
+    sevenths = _contributed(spark, d).select("id", *((F.col(c) / 7).alias(c) for c in _BASE))
+    return M.effects_text(sevenths, "id", list(_BASE), 2)
 
 
-@query("""with l as (select event_type as name, 'v' || (user_id % 20) as version, ['production', 'staging', 'none'][event_id % 3 + 1] as stage, event_id as at from events),
-t as (select name, version, arg_max(stage, at) as stage from l group by 1, 2), h as (select name, stage, arg_max(version, at) as holder from l where stage <> 'none' group by 1, 2)
+@query("""with l as (select event_type as name, 'v' || (user_id % 20) as version, ['production', 'staging', 'none'][event_id % 3 + 1] as stage, event_id as seq from events),
+t as (select name, version, arg_max(stage, seq) as stage from l group by 1, 2), h as (select name, stage, arg_max(version, seq) as holder from l where stage <> 'none' group by 1, 2)
 select t.name, t.version, case when h.holder = t.version then t.stage else 'none' end as stage from t left join h on t.name = h.name and t.stage = h.stage""")
 def model_stages(spark: SparkSession, d: str) -> DataFrame:
     """ML-08, SNK-10: the stage of each version, with one holder per stage, from a log of promotions."""
@@ -185,9 +185,9 @@ def _tree(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     return nodes, o.select(name("C", "o_custkey").alias("node_id"), F.col("o_orderkey").alias("seq"), (F.col("o_totalprice") / 600000).alias("accuracy"), (1 - (F.col("o_orderkey") % 50) / 50).alias("parsimony"))
 
 
-@query(_TREE + """select 'mean' as mode, node_id, count(*)::bigint as visits, round(avg(accuracy), 6) as accuracy, round(avg(parsimony), 6) as parsimony from x group by 2
-union all select 'max', node_id, count(*)::bigint, round(max(accuracy), 6), round(max(parsimony), 6) from x group by 2
-union all select 'max_hv', node_id, n::bigint, round(accuracy, 6), round(parsimony, 6) from (
+@query(_TREE + """select 'mean' as mode, node_id, count(*)::bigint as visits, round(avg(accuracy), 9) as accuracy, round(avg(parsimony), 9) as parsimony from x group by 2
+union all select 'max', node_id, count(*)::bigint, max(accuracy), max(parsimony) from x group by 2
+union all select 'max_hv', node_id, n::bigint, accuracy, parsimony from (
   select *, count(*) over (partition by node_id) as n, row_number() over (partition by node_id order by hv desc, accuracy desc, seq) as r from x) where r = 1""")
 def node_values(spark: SparkSession, d: str) -> DataFrame:
     """PO-06: values at every node of a tree by each rule of back-propagation."""
@@ -195,7 +195,8 @@ def node_values(spark: SparkSession, d: str) -> DataFrame:
     out = None
     for mode in S.MODES:
         v = S.node_values(nodes, evaluations, ["accuracy", "parsimony"], mode, (0.1, 0.2))
-        one = v.select(F.lit(mode).alias("mode"), "node_id", "visits", F.round("accuracy", 6).alias("accuracy"), F.round("parsimony", 6).alias("parsimony"))
+        value = [F.round(c, 9).alias(c) if mode == "mean" else F.col(c) for c in ("accuracy", "parsimony")]
+        one = v.select(F.lit(mode).alias("mode"), "node_id", "visits", *value)
         out = one if out is None else out.unionByName(one)
     return out
 
@@ -204,7 +205,7 @@ def node_values(spark: SparkSession, d: str) -> DataFrame:
   case when o_orderkey % 11 = 0 then null when o_orderkey % 13 = 0 then 'nan'::double when o_orderkey % 17 = 0 then 'infinity'::double else o_totalprice / 600000 end as accuracy, 1 - (o_orderkey % 50) / 50 as parsimony from orders),
 s as (select node_id, accuracy, parsimony, row_number() over (partition by node_id order by greatest(accuracy - 0.1, 0) * parsimony desc, accuracy desc, seq) as r
   from e where accuracy is not null and not isnan(accuracy) and not isinf(accuracy) and (f is null or f = 'f' || (node_id % 3)))
-select node_id, round(accuracy, 6) as accuracy, round(parsimony, 6) as parsimony from s where r = 1""")
+select node_id, accuracy, parsimony from s where r = 1""")
 def own_objectives(spark: SparkSession, d: str) -> DataFrame:
     """PO-07, PO-16: each node's best evaluation of the features that it has now, finite ones only."""
     feature = lambda c: F.array(F.concat(F.lit("f"), (F.col(c) % 3).cast("string")))
@@ -214,7 +215,7 @@ def own_objectives(spark: SparkSession, d: str) -> DataFrame:
     e = table(spark, d, "orders").select(
         F.col("o_custkey").alias("node_id"), k.alias("seq"), F.when(k % 7 != 0, feature("o_orderkey")).alias("features"), score.alias("accuracy"), (1 - k % 50 / 50).alias("parsimony")
     )
-    return S.own_objectives(nodes, e, ["accuracy", "parsimony"], (0.1, 0.0)).select("node_id", F.round("accuracy", 6).alias("accuracy"), F.round("parsimony", 6).alias("parsimony"))
+    return S.own_objectives(nodes, e, ["accuracy", "parsimony"], (0.1, 0.0))
 
 
 @query("""with c as (select p_partkey as node_id, p_size % 7 as n_features, p_retailprice / 2200 as x, p_size / 50 as y from part),
@@ -478,7 +479,7 @@ def _ks_sql(x: str, name: str) -> str:
 
 @query(f"""with m as (select quantile_cont(epoch_us(ts), 0.5) as mid from events), l as materialized (select epoch_us(ts) <= mid as old, value / 1000 as pr, value as la from events, m),
 {_ks_sql("pr", "p")}, {_ks_sql("la", "q")},
-f as (select list_filter(['probability', 'latency'], lambda c: (c = 'probability' and (select p from p) < 0.05) or (c = 'latency' and (select p from q) < 0.05)) as drifted),
+f as (select list_filter([case when p.p < 0.05 then 'probability' end, case when q.p < 0.05 then 'latency' end], lambda c: c is not null) as drifted from p, q),
 w as (select count(*) filter (where not old and la is null) / nullif(count(*) filter (where not old), 0) as missing, avg(la) filter (where not old) / avg(la) filter (where old) as slower from l)
 select case when len(drifted) > 0 or missing > 0.1 or slower > 1.5 then 'drift' else 'stable' end as status, (select count(*) from events)::bigint as rows, drifted from f, w""")
 def drift_verdict(spark: SparkSession, d: str) -> DataFrame:
