@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Spellings of trial phases, upper case without blanks, hyphens and underscores, and the code of each.
@@ -52,6 +52,18 @@ def chunks_at_blanks(text: Column, size: int = 1500) -> Column:
     return F.regexp_extract_all(text, F.lit(rf"(?s).{{{size}}}[^ \n]*|.+"), F.lit(0))
 
 
+def chunk_spans(df: DataFrame, key: str, text: str, size: int = 1500) -> DataFrame:
+    """(key, chunk, start, text): the chunks of each text with the place of their first character; null texts have none."""
+    cut = df.select(key, F.posexplode(chunks_at_blanks(F.col(text), size)).alias("chunk", "text"))
+    w = Window.partitionBy(key).orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
+    return cut.select(key, "chunk", F.coalesce(F.sum(F.length("text")).over(w), F.lit(0)).alias("start"), "text")
+
+
+def rebased(place: Column, start: Column) -> Column:
+    """A place in a chunk as a place in the whole text."""
+    return place + start
+
+
 def content_id(prefix: str, c: Column) -> Column:
     return F.concat(F.lit(prefix), F.md5(c))
 
@@ -92,3 +104,17 @@ def listed(c: Column, sep: str = "|") -> Column:
     """Parts of a joined text, trimmed, without blanks; null gives an empty list."""
     parts = F.transform(F.split(F.coalesce(c, F.lit("")), F.lit(f"[{sep}]")), lambda x: F.trim(x))
     return F.filter(parts, lambda x: x != "")
+
+
+def quoted(c: Column) -> Column:
+    """A text as a double-quoted scalar of YAML and JSON."""
+    out = c
+    for ch, code in (("\\", "\\\\"), ('"', '\\"'), ("\n", "\\n"), ("\r", "\\r"), ("\t", "\\t")):
+        out = F.replace(out, F.lit(ch), F.lit(code))
+    return F.concat(F.lit('"'), out, F.lit('"'))
+
+
+def yaml_block(fields: dict[str, Column], texts: set[str]) -> Column:
+    """One ``name: value`` per line in the given order, without the null ones; ``texts`` are quoted."""
+    lines = [F.concat(F.lit(f"{k}: "), quoted(c) if k in texts else c.cast("string")) for k, c in fields.items()]
+    return F.concat(F.array_join(F.array_compact(F.array(*lines)), "\n"), F.lit("\n"))

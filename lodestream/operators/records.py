@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import time
 from concurrent.futures import ThreadPoolExecutor
 from collections.abc import Callable
 
@@ -125,6 +126,28 @@ def fingerprint(df: DataFrame) -> DataFrame:
     return df.agg(F.count(F.lit(1)).alias("n"), F.sum(h).alias("hash_sum"))
 
 
+def rebuild_changed(spark: SparkSession, state: str, sources: dict[str, DataFrame], rebuild: Callable[[str, DataFrame], None]) -> dict[str, bool]:
+    """Rebuilds the snapshot sources whose rows differ from those of the last run; {source: whether it was rebuilt}.
+
+    The state (source, n, hash_sum, at) is written after each rebuild, so a run that fails is made up for by the next.
+    """
+    schema = "source string, n bigint, hash_sum string, at bigint"
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(state)
+    known = {}
+    if path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path):
+        last = spark.read.schema(schema).json(state).groupBy("source").agg(F.max_by(F.struct("n", "hash_sum"), "at").alias("f"))
+        known = {r["source"]: tuple(r["f"]) for r in last.collect()}  # a row per source
+    out = {}
+    for name, df in sources.items():
+        f = fingerprint(df).first()
+        now = (f["n"], str(f["hash_sum"]))
+        out[name] = known.get(name) != now
+        if out[name]:
+            rebuild(name, df)
+            spark.createDataFrame([(name, *now, time.time_ns())], schema).coalesce(1).write.mode("append").json(state)
+    return out
+
+
 def in_order_of(ids: list[int], df: DataFrame, key: str) -> DataFrame:
     """The rows of some ids with their place in the list (a list from a caller, so of a caller's size)."""
     lit = df.sparkSession.createDataFrame(list(enumerate(ids)), f"place int, `{key}` bigint")

@@ -244,10 +244,16 @@ def is_exhausted(index: Column, suggestions: Column) -> Column:
 
 def node_key(rollout: int, lineage: list[int], parent: str, features: list[str]) -> str:
     """A node's key from where it stands, what its parent was and what it holds; the order of features does not matter."""
-    text = json.dumps([rollout, lineage, parent, sorted(features)])
+    text = "|".join([str(rollout), ",".join(map(str, lineage)), parent, ",".join(sorted(features))])
     return hashlib.sha256(text.encode()).hexdigest()[:16]
 
 
+def node_keys(rollout: Column, lineage: Column, parent: Column, features: Column) -> Column:
+    """``node_key`` of columns."""
+    text = F.concat_ws("|", rollout.cast("string"), F.array_join(F.transform(lineage, lambda x: x.cast("string")), ","), parent, F.array_join(F.array_sort(features), ","))
+    return F.substring(F.sha2(text, 256), 1, 16)
+
+
 # ---- the search itself ----------------------------------------------------------------------------
 
 

@@ -149,13 +149,13 @@ def row_contributions(spark: SparkSession, d: str) -> DataFrame:
     return out.select("id", *(F.round(c, 6).alias(c) for c in ("base", *_BASE)), F.round("`l_quantity*l_discount`", 6).alias("pair"))
 
 
-@query(_CONTRIB + """select id, array_to_string(list_transform(list_slice(list_sort([{'o': -round(abs(l_quantity / 7), 9), 'n': 'l_quantity', 'v': l_quantity / 7},
-  {'o': -round(abs(l_discount / 7), 9), 'n': 'l_discount', 'v': l_discount / 7}, {'o': -round(abs(l_tax / 7), 9), 'n': 'l_tax', 'v': l_tax / 7}]), 1, 2),
+@query(_CONTRIB + """select id, array_to_string(list_transform(list_slice(list_sort([{'o': -round(abs(l_quantity * 0.7310585786), 9), 'n': 'l_quantity', 'v': l_quantity * 0.7310585786},
+  {'o': -round(abs(l_discount * 0.7310585786), 9), 'n': 'l_discount', 'v': l_discount * 0.7310585786}, {'o': -round(abs(l_tax * 0.7310585786), 9), 'n': 'l_tax', 'v': l_tax * 0.7310585786}]), 1, 2),
   lambda x: x.n || printf(' %+.4f', round(x.v, 4) + 0.0)), '; ') as effects from c""")
 def row_effects(spark: SparkSession, d: str) -> DataFrame:
     """ML-06, ML-09: the two largest contributions of each row as text."""
-    sevenths = _contributed(spark, d).select("id", *((F.col(c) / 7).alias(c) for c in _BASE))
-    return M.effects_text(sevenths, "id", list(_BASE), 2)
+    scaled = _contributed(spark, d).select("id", *((F.col(c) * 0.7310585786).alias(c) for c in _BASE))
+    return M.effects_text(scaled, "id", list(_BASE), 2)
 
 
 @query("""with l as (select event_type as name, 'v' || (user_id % 20) as version, ['production', 'staging', 'none'][event_id % 3 + 1] as stage, event_id as seq from events),
@@ -245,6 +245,16 @@ def volume_contributions(spark: SparkSession, d: str) -> DataFrame:
     return spark.createDataFrame([(r["p_partkey"], g) for r, g in zip(front, gain, strict=True)], "p_partkey bigint, contribution double")
 
 
+@query("""select l_orderkey, l_linenumber, left(sha256(l_linenumber || '|' || l_linenumber % 3 || ',' || l_linenumber % 2 || '|' || md5(l_orderkey::varchar) || '|' ||
+  array_to_string(list_sort([l_shipmode, l_returnflag, l_linestatus]), ',')), 16) as node_key from lineitem""".replace("l_shipmode", "l_orderkey::varchar"))
+def node_keys(spark: SparkSession, d: str) -> DataFrame:
+    """PO-10: keys of nodes from their place, parent and features."""
+    n = F.col("l_linenumber")
+    features = F.array(F.col("l_orderkey").cast("string"), F.col("l_returnflag"), F.col("l_linestatus"))
+    key = S.node_keys(n, F.array(n % 3, n % 2), F.md5(F.col("l_orderkey").cast("string")), features)
+    return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", key.alias("node_key"))
+
+
 _SUGGESTED = "list_filter(string_split(coalesce(conditions, ''), '|'), lambda x: x <> '')"
 
 

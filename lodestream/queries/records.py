@@ -9,6 +9,7 @@ from lodestream.operators import evaluation as E
 from lodestream.operators import passages as P
 from lodestream.operators import records as X
 from lodestream.operators import relational as R
+from lodestream.streaming.jobs import scratch
 from lodestream.tables import norm_ref, table
 
 Q: dict = {}
@@ -217,14 +218,28 @@ def packed_dates(spark: SparkSession, d: str) -> DataFrame:
     return p.select("passage_id", F.regexp_replace("date", r"^(\d{4})(\d{2})(\d{2})$", "$1-$2-$3").alias("iso"))
 
 
-@query()
-def source_fingerprints(spark: SparkSession, d: str) -> DataFrame:
-    """STM-09, SNK-12: what tells whether a snapshot source has changed, so that only changed ones are rebuilt."""
-    out = None
-    for t in ("molecules", "faers", "ctg_trials"):
-        f = X.fingerprint(table(spark, d, t)).select(F.lit(t).alias("source"), "n", "hash_sum")
-        out = f if out is None else out.unionByName(f)
-    return out
+@query("""select 'molecules' as source, false as rebuilt, count(*)::bigint as n from molecules union all select 'ctg_trials', false, count(*)::bigint from ctg_trials
+union all select 'faers', true, count(*)::bigint from faers where drug_name is not null""")
+def rebuilt_snapshots(spark: SparkSession, d: str) -> DataFrame:
+    """STM-09, SNK-12: in a second run only the source whose rows differ is rebuilt."""
+    folder = scratch(spark, "snapshots")
+    run = lambda s: X.rebuild_changed(spark, f"{folder}/state", s, lambda name, df: df.write.mode("overwrite").parquet(f"{folder}/{name}"))
+    sources = {t: table(spark, d, t) for t in ("molecules", "faers", "ctg_trials")}
+    run(sources)
+    done = run(sources | {"faers": sources["faers"].filter("drug_name is not null")})
+    rows = [(t, again, spark.read.parquet(f"{folder}/{t}").count()) for t, again in done.items()]
+    return spark.createDataFrame(rows, "source string, rebuilt boolean, n bigint")
+
+
+_STUDY_TEXTS = ["why_stopped", "intervention_description", "official_title", "agency_class", "source"]
+
+
+@query("select unnest([" + ", ".join(f"case when count({c}) >= 2 then '{c}' end" for c in _STUDY_TEXTS) + "]) as name from aact_studies where overall_status = 'COMPLETED'")
+def filled_columns(spark: SparkSession, d: str) -> DataFrame:
+    """FLT-14: columns with at least two values, null in place of the others."""
+    s = table(spark, d, "aact_studies").filter("overall_status = 'COMPLETED'").select(*_STUDY_TEXTS)
+    good = R.filled_columns(s)
+    return spark.createDataFrame([(c if c in good else None,) for c in _STUDY_TEXTS], "name string")
 
 
 def queries() -> dict:

@@ -90,6 +90,28 @@ def chunk_counts(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").filter("text is not null").select("doc_id", F.size(T.chunks_at_blanks(F.col("text"), 900)).alias("chunks"))
 
 
+_QUOTED = r"""'"' || replace(replace(replace(replace(replace({0}, '\', '\\'), '"', '\"'), chr(10), '\n'), chr(13), '\r'), chr(9), '\t') || '"'"""
+
+
+@query(f"""select passage_id, concat_ws(chr(10), 'text: ' || {_QUOTED.format("text")}, 'source: ' || {_QUOTED.format("source")}, 'doc_id: ' || {_QUOTED.format("doc_id")},
+  'passage: ' || passage_id) || chr(10) as block from passages""")
+def yaml_blocks(spark: SparkSession, d: str) -> DataFrame:
+    """STR-16: a passage as a block of YAML."""
+    c = F.col
+    block = T.yaml_block({"text": c("text"), "source": c("source"), "doc_id": c("doc_id"), "passage": c("passage_id")}, {"text", "source", "doc_id"})
+    return table(spark, d, "passages").select("passage_id", block.alias("block"))
+
+
+@query("""select doc_id, (i - 1)::int as chunk, coalesce(list_sum(list_transform(c[1:i - 1], lambda x: length(x))), 0)::bigint as start, length(c[i])::bigint as size,
+  coalesce(list_sum(list_transform(c[1:i - 1], lambda x: length(x))), 0)::bigint + nullif(instr(c[i], 'mg'), 0) - 1 as hit from (
+  select doc_id, c, unnest(range(1, len(c) + 1)) as i from (select doc_id, regexp_extract_all(text, '(?s).{900}[^ \n]*|.+') as c from documents where text is not null))""")
+def chunk_places(spark: SparkSession, d: str) -> DataFrame:
+    """GR-04: chunks with their place, and what is found in a chunk placed in the whole text again."""
+    chunks = T.chunk_spans(table(spark, d, "documents"), "doc_id", "text", 900)
+    hit = F.nullif(F.instr("text", "mg"), F.lit(0)) - 1
+    return chunks.select("doc_id", "chunk", "start", F.length("text").cast("bigint").alias("size"), T.rebased(hit, F.col("start")).alias("hit"))
+
+
 @query("""select passage_id, nullif(regexp_extract(upper(doc_id), '^(NDA|ANDA|BLA)', 1), '') as kind, case when length(text) > 200 then left(text, 197) || '...' else text end as short from passages where source = 'drugsfda'""")
 def application_types(spark: SparkSession, d: str) -> DataFrame:
     """STR-10, STR-15."""
