@@ -56,7 +56,10 @@ def _fold(text: str) -> str:
     if text.isascii():
         return text.lower()
     t = unicodedata.normalize("NFKC", text)
-    return "".join(ch for ch in t if unicodedata.category(ch) != "Cf").casefold()
+    for ch in set(t):
+        if ch > "\x7f" and unicodedata.category(ch) == "Cf":
+            t = t.replace(ch, "")
+    return t.casefold()
 
 
 def doc_tokens(text: str) -> list[str]:
@@ -68,18 +71,22 @@ def item_words(text: str) -> list[tuple[str, ...]]:
     return [w for w in (tuple(_TOKEN.findall(x)) for x in _fold(text).split()) if w]
 
 
-def _token_hash(tok: str) -> int:
-    import xxhash
+class HashCache(dict):
+    """Hashes of tokens, worked out when first asked for."""
 
-    return xxhash.xxh64_intdigest(tok)
+    def __missing__(self, tok: str) -> int:
+        import xxhash
 
+        h = self[tok] = xxhash.xxh64_intdigest(tok)
+        return h
 
-def kept_hashes(tokens: list[str], cache: dict[str, int], k: int = K, w: int = W) -> tuple[np.ndarray, np.ndarray]:
+
+def kept_hashes(tokens: list[str], cache: HashCache, k: int = K, w: int = W) -> tuple[np.ndarray, np.ndarray]:
     """(hashes, positions) of the k-grams that winnowing keeps, in order of position."""
     n = len(tokens) - k + 1
     if n <= 0:
         return np.empty(0, np.uint64), np.empty(0, np.int64)
-    h = np.fromiter((cache[t] if t in cache else cache.setdefault(t, _token_hash(t)) for t in tokens), np.uint64, len(tokens))
+    h = np.fromiter(map(cache.__getitem__, tokens), np.uint64, len(tokens))
     gram = np.zeros(n, np.uint64)
     with np.errstate(over="ignore"):
         for j in range(k):
@@ -89,9 +96,12 @@ def kept_hashes(tokens: list[str], cache: dict[str, int], k: int = K, w: int = W
     if n <= w:
         at = np.array([n - 1 - int(np.argmin(gram[::-1]))])
     else:
-        win = np.lib.stride_tricks.sliding_window_view(gram, w)
-        last = w - 1 - np.argmin(win[:, ::-1], axis=1)
-        at = np.unique(np.arange(len(win)) + last)
+        if w == 2:  # the second of a pair, unless the first is smaller
+            at = np.arange(1, n) - (gram[:-1] < gram[1:])
+        else:
+            win = np.lib.stride_tricks.sliding_window_view(gram, w)
+            at = np.arange(len(win)) + w - 1 - np.argmin(win[:, ::-1], axis=1)
+        at = at[np.concatenate([[True], at[1:] != at[:-1]])]
     return gram[at], at
 
 
@@ -183,7 +193,7 @@ class ItemIndex:
         self.words: list = []
         self.tokens: list = []
         self.ids: list = []
-        cache: dict[str, int] = {}
+        cache = HashCache()
         hashes, owner, word_at = [], [], []
         for item_id, text in items:
             words = item_words(text or "")
@@ -208,21 +218,27 @@ class ItemIndex:
         self.owner = np.array(owner, np.int64)[order]
         self.place = [word_at[j] for j in order.tolist()]
 
-    def search(self, text: str, cache: dict[str, int]) -> list[tuple]:
+    def search(self, text: str, cache: HashCache) -> list[tuple]:
         """(item id, first word, end word) of each item that leaks into the text."""
         tokens = doc_tokens(text)
         h, at = kept_hashes(tokens, cache)
-        lo, hi = np.searchsorted(self.hashes, h, "left"), np.searchsorted(self.hashes, h, "right")
+        if not len(self.hashes) or not len(h):
+            return []
+        lo = np.searchsorted(self.hashes, h, "left")
+        held = np.flatnonzero(self.hashes[np.minimum(lo, len(self.hashes) - 1)] == h)
+        if not len(held):
+            return []
+        lo, at, hi = lo[held].tolist(), at[held].tolist(), np.searchsorted(self.hashes, h[held], "right").tolist()
         found: dict[int, tuple] = {}
         # A leak around one word of an intact stretch can be widened to its other words, so one try is enough for
         # the stretch, but only for it: where it ends, by item and distance of the places.
         tried: dict[tuple[int, int], int] = {}
         bounds = None
-        for j in np.flatnonzero(hi > lo).tolist():
-            for e in range(lo[j], hi[j]):
+        for first_at, end_at, place in zip(lo, hi, at, strict=True):
+            for e in range(first_at, end_at):
                 n = int(self.owner[e])
                 word, skip, a = self.place[e]
-                p = int(at[j]) + skip
+                p = place + skip
                 if n in found or a < tried.get((n, a - p), 0):
                     continue
                 bounds = bounds or joints(text)
@@ -293,7 +309,7 @@ def _by_broadcast(d: DataFrame, it: DataFrame) -> DataFrame:
     index = d.sparkSession.sparkContext.broadcast(ItemIndex([tuple(r) for r in it.collect()]))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        cache: dict[str, int] = {}
+        cache = HashCache()
         for pdf in batches:
             if len(cache) > 200_000:
                 cache.clear()
@@ -307,7 +323,7 @@ def _hashes(df: DataFrame, key: str, text: str) -> DataFrame:
     """(key, h): the distinct kept hashes of each text."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        cache: dict[str, int] = {}
+        cache = HashCache()
         for pdf in batches:
             if len(cache) > 200_000:
                 cache.clear()
@@ -329,7 +345,7 @@ def _by_shuffle(d: DataFrame, it: DataFrame, held: DataFrame) -> DataFrame:
     both = pairs.join(d, "d").join(it, "i")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        cache: dict[str, int] = {}
+        cache = HashCache()
         for pdf in batches:
             cache.clear()
             rows = []

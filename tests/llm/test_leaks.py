@@ -46,15 +46,15 @@ def test_no_span_is_missed():
         for j in rnd.sample(range(1, n - 1), n // 10):
             span[j] = "x"
         text = " ".join(["q"] * rnd.randrange(5) + span + ["r"] * rnd.randrange(5))
-        assert ix.search(text, {}), (n, a)
+        assert ix.search(text, L.HashCache()), (n, a)
 
 
 def test_winnowing_keeps_one_hash_per_window():
     toks = [str(i % 7) for i in range(50)]
-    h, at = L.kept_hashes(toks, {})
+    h, at = L.kept_hashes(toks, L.HashCache())
     assert len(h) == len(at) and (at[1:] - at[:-1] <= L.W).all()
-    assert len(L.kept_hashes(toks[:3], {})[0]) == 0
-    assert len(L.kept_hashes(toks[: L.K], {})[0]) == 1
+    assert len(L.kept_hashes(toks[:3], L.HashCache())[0]) == 0
+    assert len(L.kept_hashes(toks[: L.K], L.HashCache())[0]) == 1
 
 
 def test_replaced_words_of_several_tokens():
@@ -63,7 +63,7 @@ def test_replaced_words_of_several_tokens():
     ix = L.ItemIndex([(1, " ".join(w))])
 
     def found(at: int, *new: str) -> bool:
-        return bool(ix.search("start " + " ".join([*w[:at], *new, *w[at + 1 :]]) + " end", {}))
+        return bool(ix.search("start " + " ".join([*w[:at], *new, *w[at + 1 :]]) + " end", L.HashCache()))
 
     for at in (14, 15):
         for word in ("follow-up", "30.5", "patient's", "treat-\nment", "a-b/c.d", "1,234.5", "follow - up"):
@@ -84,7 +84,7 @@ def test_no_span_with_long_replacements_is_missed():
         for j in rnd.sample(range(1, n - 1), n // 10):
             span[j] = rnd.choice(["x", "follow-up", "30.5", "a-b-c", "treat-\nment", span[j].split("-")[0] + "-z"])
         text = " ".join(["q"] * rnd.randrange(5) + span + ["r"] * rnd.randrange(5))
-        assert ix.search(text, {}), (n, a)
+        assert ix.search(text, L.HashCache()), (n, a)
 
 
 def test_later_stretch_at_the_same_distance(spark):
@@ -125,5 +125,5 @@ def test_same_as_every_alignment_by_place():
             same[a] and same[b - 1] and 10 * same[a:b].count(False) <= b - a for a in range(len(w)) for b in range(a + 25, len(w) + 1)
         )
         hits += want
-        assert bool(ix.search(" ".join(x if ok else "z" for x, ok in zip(w, same, strict=True)), {})) == want
+        assert bool(ix.search(" ".join(x if ok else "z" for x, ok in zip(w, same, strict=True)), L.HashCache())) == want
     assert 40 < hits < 360
