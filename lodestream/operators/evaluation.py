@@ -7,6 +7,7 @@ reports of this domain expect; single-class input has ROC-AUC 0. Ties in scores
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -194,7 +195,8 @@ def greedy_matches(
     equals the first span wins. accepted: the predicted labels that do for a gold label, in place of its own.
 
     The order makes it sequential among spans that compete for the same predictions, so what is resolved by
-    itself is a chain of overlapping spans, or all of one place or text; only fitting pairs reach that step.
+    itself is a chain of overlapping spans, or all of one place or text; only fitting pairs reach that step, in
+    order, and a task holds no more than the ids of one chain.
     """
     if strategy not in ("strict", "relaxed", "text_only"):
         raise ValueError(f"unknown strategy: {strategy}")
@@ -218,16 +220,23 @@ def greedy_matches(
         F.greatest(F.col("p.score"), F.lit(1e-9)).alias("score"), F.col("p.start").alias("ps"), F.col("p.end").alias("pe"),
     )
 
-    def resolve(pdf: pd.DataFrame) -> pd.DataFrame:
-        taken, done, rows = set(), set(), []
-        for r in pdf.sort_values(["gs", "ge", "gid", "score", "ps", "pe", "pid"], ascending=[True, True, True, False, True, True, True]).itertuples():
-            if r.gid not in done and r.pid not in taken:
-                done.add(r.gid)
-                taken.add(r.pid)
-                rows.append((r.doc_id, r.gid, r.pid))
-        return pd.DataFrame(rows, columns=["doc_id", "gold_id", "pred_id"])
-
-    return flat.groupBy("doc_id", "group").applyInPandas(resolve, f"doc_id {kind}, gold_id bigint, pred_id bigint")
+    order = ["doc_id", "group", "gs", "ge", "gid", F.desc("score"), "ps", "pe", "pid"]
+
+    def resolve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        here, taken, done = None, set(), set()  # of one group, whose rows follow each other
+        for pdf in batches:
+            found, gids, pids = [], pdf["gid"].tolist(), pdf["pid"].tolist()
+            for n, key in enumerate(zip(pdf["doc_id"], pdf["group"], strict=True)):
+                if key != here:
+                    here, taken, done = key, set(), set()
+                gid, pid = gids[n], pids[n]
+                if gid not in done and pid not in taken:
+                    done.add(gid)
+                    taken.add(pid)
+                    found.append(n)
+            yield pdf.iloc[found][["doc_id", "gid", "pid"]].set_axis(["doc_id", "gold_id", "pred_id"], axis=1)
+
+    return flat.repartition("doc_id", "group").sortWithinPartitions(*order).mapInPandas(resolve, f"doc_id {kind}, gold_id bigint, pred_id bigint")
 
 
 def matched_labels(gold: DataFrame, pred: DataFrame, strategy: str, accepted: dict[str, list[str]] | None = None) -> DataFrame:
