@@ -29,7 +29,7 @@ def test_every_oracle_has_a_query():
 
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - SLOW))
 def test_query_matches_sql(spark, con, sf, name):
-    r = compare(spark, con, QUERIES[name], SQL.get(name), sf, CHECKED.get(name))
+    r = compare(spark, con, QUERIES[name], SQL.get(name), sf, CHECKED.get(name), need_rows=False)
     assert r["ok"], r["why"]
 
 
