@@ -88,24 +88,46 @@ def _unsign(m: re.Match) -> str:
     if not letters or not _LEET_SIGN.search(w):
         return w
     core = w.rstrip("!|+")
-    if not _LEET_SIGN.search(core) or re.fullmatch(r"[0-9]+[a-z]{1,3}|[a-z]{1,4}[0-9]+[a-z]?", core):
+    if not _LEET_SIGN.search(core):
         return w
-    return "".join(SIGNS.get(ch, ch) for ch in core)
+    plain = "".join(SIGNS.get(ch, ch) for ch in core)
+    if re.fullmatch(r"[0-9]+[a-z]{1,3}|[a-z]{1,4}[0-9]+[a-z]?", core) and not _speaks(plain):
+        return w  # a dose or a code
+    return plain
+
+
+def _speaks(word: str) -> bool:
+    """Whether a word is listed in a class that can raise a grade."""
+    return word in ANIMALS or any(c in _OWN for c in _tables()[0].get(_key(word), ()))
 
 
 def _respell(m: re.Match) -> str:
-    """A word spelled with blanks; where listed words and single letters make up the whole, they are told apart."""
+    """A word spelled with blanks; where listed words and single letters make up at least half of it, they are told apart.
+
+    Of all ways to divide it the one with the fewest letters outside of listed words, then the fewest parts; a
+    stretch of other letters has two at least.
+    """
     w = m[0].replace(" ", "")
-    if _known(w) or len(w) > 40:
+    if _known(w):
         return w
-    best: list = [[]] + [None] * len(w)  # fewest parts that end at each place
-    for end in range(1, len(w) + 1):
+    n = len(w)
+    best: list = [(0, 0, ())] + [None] * n  # at each place: letters outside, parts, where the parts end and whether they are listed
+    for end in range(1, n + 1):
         for start in range(max(0, end - 16), end):
-            part = w[start:end]
-            if best[start] is not None and (part in ("a", "i", "u") or end - start > 2 and _known(part)):
-                if best[end] is None or len(best[start]) + 1 < len(best[end]):
-                    best[end] = [*best[start], part]
-    return " ".join(best[-1]) if best[-1] else w
+            if best[start] is None:
+                continue
+            outside, parts, cuts = best[start]
+            size, part = end - start, w[start:end]
+            listed = part in ("a", "i", "u") or size > 2 and _known(part)
+            if not listed and (size == 1 or cuts and not cuts[-1][1]):
+                continue
+            got = (outside + (0 if listed else size), parts + 1, (*cuts, (end, listed)))
+            if best[end] is None or got[:2] < best[end][:2]:
+                best[end] = got
+    if best[n] is None or 2 * best[n][0] > n:
+        return w
+    ends = [0, *(e for e, _ in best[n][2])]
+    return " ".join(w[x:y] for x, y in zip(ends, ends[1:], strict=False))
 
 
 def clean(sentence: str) -> tuple[list[str], int]:
@@ -144,12 +166,19 @@ def _known(piece: str) -> bool:
     return len(toks) == 1 and bool(_classes_of(toks[0]))
 
 
+def _fitting(tok: str) -> tuple:
+    """Classes of the listed words that a word with one masked letter can be."""
+    fits = re.compile(re.escape(tok).replace(r"\*", r"\w") + "$")
+    return tuple(sorted({c for name in _OWN for w in CLASSES[name] if len(w) == len(tok) and fits.match(w) for c in (name,)}))
+
+
 @lru_cache(maxsize=200_000)
 def _classes_of(tok: str) -> tuple:
     plain, masks = _tables()
     if "*" in tok:
+        # a single sign may stand for anything, so it needs a listed word that fits letter by letter
         if tok.count("*") < 2:
-            return ()
+            return _fitting(tok)
         return masks.get((tok[0], tok[-1], len(tok)), ("coarse",))
     if len(tok) > 6 and tok.endswith(DEMONYM_ENDS) and tok not in NOT_DEMONYMS:
         return ("group",)

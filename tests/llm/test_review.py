@@ -23,6 +23,15 @@ def test_cleaning_undoes_disguises():
     assert R.clean("5mg of HbA1c at p=0.3")[0][:2] == ["5mg", "of"]
 
 
+def test_short_disguises_and_long_spellings():
+    for w, plain in (("sh1t", "shit"), ("p1g", "plg"), ("stup1d", "stupid"), ("idi0t", "idiot"), ("los3r", "loser"), ("bl33d", "bleed")):
+        assert R.clean(f"you {w}")[0] in (["you", plain], ["you", plain.replace("l", "i")]), w
+    assert R.clean("take 5mg of ab12 at b6 or t4x")[0] == ["take", "5mg", "of", "ab12", "at", "b6", "or", "t4x"]
+    assert R._classes_of("sh*t") == ("coarse",) and R._classes_of("p*lls") == () and R._classes_of("q*zz") == ()
+    spelled = " ".join("youareanidiotandaworthlessbastardwhoshouldrotinhell")
+    assert {"idiot", "worthless", "bastard", "rot", "hell"} <= set(R.clean(spelled)[0])
+
+
 @pytest.mark.parametrize("text", ["You are a pathetic worthless idiot.", "Du bist ein Arschloch.", "Eres un imbécil de mierda.", "Cette femme est une salope.", "Fine day.\nI will kill you, bastard.", "you are a m***n"])
 def test_finds(model, text):
     assert worst(model, text) >= model.found_at
