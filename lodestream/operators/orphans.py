@@ -115,7 +115,10 @@ def _rows_of(refs: DataFrame, target: DataFrame, states: DataFrame, heavy: list)
     rows = refs.filter(~hot).join(states.filter(~hot), _STATE)
     if heavy:
         rows = rows.unionByName(refs.filter(hot).join(F.broadcast(states.filter(hot)), _STATE))
-    rows = rows.filter(F.col("whole") | F.col("carry").isNull() | (F.col("at") >= F.col("carry")))
+    # the references are read once for both uses below; only rows that are orphans or may be are kept
+    rows = cut_lineage(
+        rows.filter(F.col("whole") | F.col("carry").isNull() | (F.col("at") >= F.col("carry"))).select(*_STATE, "row_id", "at", "n", "whole", "inner")
+    )
     copies = F.ceil(F.col("n") / F.lit(PER_MERGE)).cast("int")
     open_rows = rows.filter("inner and not whole").select(
         *_STATE, F.pmod(F.xxhash64("row_id"), copies).cast("int").alias("copy"), F.col("at").alias("t"), F.lit(1).alias("side"), "row_id",
